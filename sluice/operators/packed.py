@@ -11,12 +11,12 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 NEVER = "-_.:/"
 #: Marks an unquoted value may hold; part of the model, as it bounds the lattice's edges.
 INNER_MARKS = 4
-#: Slots of each hash of the value frequencies, and hashes.
-SLOTS, HASHES = 1 << 15, 2
+#: Slots of each hash of the value frequencies, and hashes (four 32-bit parts of one digest).
+SLOTS, HASHES = 1 << 16, 4
 #: Log probability of a value without support: for being new, and for each character.
 NEW, PER_CHARACTER = -2.0, -2.5
 #: Standard deviations of a slot's chance load that are no support.
-CHANCE = 5.0
+CHANCE = 8.0
 #: Values whose score a worker keeps.
 CACHED = 100_000
 
@@ -99,8 +99,8 @@ class Model:
         self._seen: dict[str, float] = {}
 
     def where(self, value: str) -> tuple[int, ...]:
-        raw = value.encode("utf-8", "surrogatepass")
-        return tuple(zlib.crc32(raw, h * 0x9E3779B1 & 0xFFFFFFFF) % self.slots for h in range(HASHES))
+        bits = xxhash.xxh128_intdigest(value.encode("utf-8", "surrogatepass"))
+        return tuple((bits >> 32 * h) % self.slots for h in range(HASHES))
 
     def value(self, text: str) -> float:
         """Log probability of a value; unsupported ones by their length."""
