@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 NEVER = "-_.:/"
 #: Marks an unquoted value may hold; part of the model, as it bounds the lattice's edges.
 INNER_MARKS = 4
-#: Slots of each hash of the value frequencies, and hashes (four 32-bit parts of one digest).
-SLOTS, HASHES = 1 << 16, 4
+#: Slots of each hash of the value frequencies, and hashes (parts of one digest).
+SLOTS, HASHES = 1 << 16, 6
 #: Log probability of a value without support: for being new, and for each character.
 NEW, PER_CHARACTER = -2.0, -2.5
 #: Standard deviations of a slot's chance load that are no support.
@@ -100,7 +100,7 @@ class Model:
 
     def where(self, value: str) -> tuple[int, ...]:
         bits = xxhash.xxh128_intdigest(value.encode("utf-8", "surrogatepass"))
-        return tuple((bits >> 32 * h) % self.slots for h in range(HASHES))
+        return tuple((bits >> 21 * h) % self.slots for h in range(HASHES))
 
     def value(self, text: str) -> float:
         """Log probability of a value; unsupported ones by their length."""
