@@ -157,11 +157,15 @@ def selected(pairs: Column, v: Variable) -> Column:
             pairs = F.filter(pairs, (lambda x: x["name"].rlike(java)) if compiles(java) else (lambda x: F.lit(False)))
         except BadPattern:
             return F.filter(pairs, lambda x: F.lit(False))
-    for e in v.excluded:
-        pairs = F.filter(pairs, lambda x, e=e: ~F.contains(F.concat(F.lit(v.name + ":"), x["name"]), F.lit(e)))
+    for text in v.excluded:
+        pairs = F.filter(pairs, _lacks(v.name, text))
     return pairs
 
 
+def _lacks(variable: str, text: str):
+    return lambda x: ~F.contains(F.concat(F.lit(variable + ":"), x["name"]), F.lit(text))
+
+
 def scalar_selected(v: Variable) -> bool:
     """Whether a variable's one text stays; selections of such variables have no effect."""
     return v.name in SCALARS and not any(e in v.name for e in v.excluded)
