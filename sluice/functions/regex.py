@@ -115,13 +115,12 @@ def _in_class(s: str, depth: int, pattern: str, at: int, out: list[str]) -> tupl
 
 def compiles(java: str) -> bool:
     """Whether the JVM takes a pattern."""
+    from pyspark.errors import IllegalArgumentException
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     try:
         spark._jvm.java.util.regex.Pattern.compile(java)
-    except Exception as e:  # the gateway's error for PatternSyntaxException
-        if "PatternSyntaxException" in str(e):
-            return False
-        raise
+    except IllegalArgumentException:  # what PatternSyntaxException comes as
+        return False
     return True
