@@ -2,7 +2,8 @@
 
 Whether a rule matches is an expression of the row, unless it reads the TX variables rules set. A phase's
 rules that only match and stop reduce to the first stopping one; with flow control, TX variables or
-chains the phase is an ordered fold over its rules, as an aggregate over an array. Rows never meet: no
+chains the phase is an ordered fold over the rules that match or may matter unmatched, as an aggregate
+over their numbers. Rows never meet: no
 phase shuffles.
 """
 
@@ -25,7 +26,7 @@ SCORES = ["anomaly_score", "sql_injection_score", "xss_score", "rfi_score", "lfi
 LOADED = SCORES[:3]
 #: Statuses of interventions.
 DENIED, REDIRECTED, DROPPED = 403, 302, 444
-STATE, BITS = "__state", "__bits"
+STATE, STEPS, SOME = "__state", "__steps", "__some"
 METADATA = "struct<id:string,msg:string,logdata:string,severity:int,tags:array<string>,maturity:int,accuracy:int,rev:string,ver:string>"
 INTERVENTION = f"struct<status:int,url:string,log:string,rule_ids:array<string>,phase:int,drop_connection:boolean,metadata:array<{METADATA}>>"
 _OPS = "array<struct<key:string,kind:string,text:string,n:bigint>>"
@@ -154,28 +155,34 @@ class Evaluator:
         request = Request(df, phase, self.observed)
         base = sum(len(self.ruleset.phases[q]) for q in range(1, phase))
         tx_rules = {i: r for i, r in enumerate(rules) if any(v.name == "TX" for v in r.variables)}
-        bits, filled = [], {}
+        chained = any(r.is_chain and self._jump(r, phase, i, len(rules)) != i + 1 for i, r in enumerate(rules))
+        steps, filled = [], {}
         for i, r in enumerate(rules):
             hit, some = self._match(request, r)
             if i in tx_rules:
                 filled[i] = F.lit(True) if some is None else some
             elif some is not None and r.operator.negated and r.variables:
                 hit = hit | ~some
-            bits.append(F.coalesce(hit, F.lit(False)))
-        extra = {i: len(rules) + k for k, i in enumerate(filled)}
-        df = df.withColumn(BITS, F.array(*bits, *[F.coalesce(c, F.lit(False)) for c in filled.values()]))
+            # A rule that misses is a step only where a miss can matter: in a chain, or if TX may make it match.
+            stays = i in tx_rules or chained or (i > 0 and rules[i - 1].is_chain)
+            step = F.when(F.coalesce(hit, F.lit(False)), F.lit(2 * i + 1))
+            steps.append(step.otherwise(F.lit(2 * i)) if stays else step)
+        df = df.withColumn(STEPS, F.array_compact(F.array(*steps)))
+        if filled:
+            df = df.withColumn(SOME, F.array(*[F.coalesce(c, F.lit(False)) for c in filled.values()]))
         going = invoked & (F.col(STATE)["stop"] < 0) & ~F.col(STATE)["allowed"]
         plain = not tx_rules and not any(r.flow or r.setvars for r in rules)
-        after = self._plain(rules, base) if plain else self._fold(rules, phase, base, tx_rules, extra)
-        return df.withColumn(STATE, F.when(going, after).otherwise(F.col(STATE))).drop(BITS)
+        after = self._plain(rules, base) if plain else self._fold(rules, phase, base, tx_rules, list(filled))
+        return df.withColumn(STATE, F.when(going, after).otherwise(F.col(STATE))).drop(STEPS, SOME)
 
     def _plain(self, rules: list[Rule], base: int) -> Column:
-        """Rules that only match and stop: hits up to the first that stops."""
+        """Rules that only match and stop: hits up to the first that stops. Every step is a match here."""
         s, n = F.col(STATE), len(rules)
         stopping = [(i, self._stops(r)) for i, r in enumerate(rules) if self._stops(r)]
-        first = F.coalesce(*[F.when(F.get(F.col(BITS), F.lit(i)), F.lit(i)) for i, _ in stopping], F.lit(n))
-        ids = F.zip_with(_constant([r.id for r in rules], "array<string>"), F.slice(F.col(BITS), 1, n), lambda d, m: F.when(m, d))
-        hits = F.filter(F.slice(ids, F.lit(1), F.least(first + 1, F.lit(n))), lambda x: x.isNotNull())
+        matched = F.transform(STEPS, lambda x: F.floor(x / 2).cast("int"))
+        first = F.coalesce(F.array_min(F.filter(matched, lambda i: i.isin([i for i, _ in stopping]))), F.lit(n)) if stopping else F.lit(n)
+        ids = _constant([r.id for r in rules], "array<string>")
+        hits = F.array_compact(F.transform(F.filter(matched, lambda i: i <= first), lambda i: F.get(ids, i)))
         allows = [i for i, k in stopping if k == "allow"]
         allowed = first.isin(allows) if allows else F.lit(False)
         blocked = (first < n) & ~allowed
@@ -184,25 +191,24 @@ class Evaluator:
             F.when(first < n, s["tx"]).otherwise(_synced(s["tx"], s["scores"])).alias("tx"), s["scores"].alias("scores"),
             F.concat(s["hits"], hits).alias("hits"))
 
-    def _fold(self, rules: list[Rule], phase: int, base: int, tx_rules: dict[int, Rule], extra: dict[int, int]) -> Column:
+    def _fold(self, rules: list[Rule], phase: int, base: int, tx_rules: dict[int, Rule], filled: list[int]) -> Column:
         n, s = len(rules), F.col(STATE)
         table = _constant([{
             "i": i, "id": r.id, "chain": r.is_chain, "closes": not r.is_chain and r.chain_next is None, "opens": r.flow == "chain",
             "jump": self._jump(r, phase, i, n), "stop": {None: 0, "allow": 2}.get(self._stops(r), 1),
             "ops": [{"key": o.key, "kind": o.kind, "text": str(o.value), "n": o.value if o.kind == "add" else 0} for o in r.setvars],
         } for i, r in enumerate(rules)], _RULE)
-        steps = F.zip_with(table, F.slice(F.col(BITS), 1, n), lambda r, m: F.struct(r.alias("r"), m.alias("m")))
-        some = F.slice(F.col(BITS), n + 1, max(1, len(extra)))
-        steps = F.transform(steps, lambda x: F.struct(x["r"].alias("r"), x["m"].alias("m"), some.alias("some")))
+        steps = F.transform(F.col(STEPS), lambda x: F.struct(
+            F.get(table, F.floor(x / 2).cast("int")).alias("r"), (x % 2 == 1).alias("m"), (F.col(SOME) if filled else F.lit(None)).alias("some")))
 
         def merge(acc: Column, x: Column) -> Column:
             r = x["r"]
             matched = x["m"]
             for i, rule in tx_rules.items():
-                hit, filled = self._tx_match(rule, acc["tx"])
+                hit, has = self._tx_match(rule, acc["tx"])
                 full = hit | x["m"]
                 if rule.operator.negated:
-                    full = full | ~(filled | F.get(x["some"], F.lit(extra[i] - n)))
+                    full = full | ~(has | F.get(x["some"], F.lit(filled.index(i))))
                 matched = F.when(r["i"] == i, full).otherwise(matched)
             matched = F.coalesce(matched, F.lit(False))
             idle = acc["done"] | (r["i"] < acc["jump"])
