@@ -15,6 +15,8 @@ from ..seclang.parser import SCALARS
 from .regex import BadPattern, compiles, to_java
 
 PAIRS = "array<struct<name:string,value:string>>"
+#: Prefix of prepared columns.
+READY = "__ready_"
 TRANSACTION = (
     f"tx_id bigint, ts timestamp, method string, uri string, protocol string, request_headers {PAIRS}, request_body binary, "
     f"has_request_body_phase boolean, response_status int, response_headers {PAIRS}, response_body binary, client_ip string, client_port int, "
@@ -75,6 +77,16 @@ class Request:
     def __init__(self, df: DataFrame, phase: int, observed: bool = False):
         self._df, self._phase, self._observed = df, phase, observed
 
+    @staticmethod
+    def prepared(df: DataFrame, names: set[str]) -> DataFrame:
+        """``df`` with the collections of ``names`` as columns, so that expressions which use them more than once share them."""
+        late = Request(df, 5)
+        parts = {"ARGS_GET": {"ARGS", "ARGS_GET"}, "ARGS_POST": {"ARGS", "ARGS_POST"}, "REQUEST_HEADERS": {"REQUEST_HEADERS"}, "RESPONSE_HEADERS": {"RESPONSE_HEADERS", "RESPONSE_CONTENT_TYPE"}}
+        return df.withColumns({READY + part: late.collection(part) for part, users in parts.items() if users & names})
+
+    def _ready(self, part: str) -> Column | None:
+        return self._df[READY + part] if READY + part in self._df.columns else None
+
     def _col(self, name: str, kind: str) -> Column:
         c = self._df[name] if name in self._df.columns else F.lit(None)
         return c.cast(kind)
@@ -130,20 +142,24 @@ class Request:
 
     def collection(self, name: str) -> Column:
         """Pairs of name and value; of variables without a source none."""
-        get, none = arguments(query_string(self._text("uri"))), F.expr(f"cast(array() as {PAIRS})")
+        none = F.expr(f"cast(array() as {PAIRS})")
         seen = self._seen("request_body")
-        post = none if seen is None else form_arguments(lossy(seen))
+        if name == "ARGS":
+            get = self.collection("ARGS_GET")
+            return get if seen is None else F.concat(get, self.collection("ARGS_POST"))
+        if name == "ARGS_POST" and seen is None or name == "RESPONSE_HEADERS" and self._phase < 3:
+            return none
+        if (ready := self._ready(name)) is not None:
+            return ready
         match name:
             case "ARGS_GET":
-                return get
+                return arguments(query_string(self._text("uri")))
             case "ARGS_POST":
-                return post
-            case "ARGS":
-                return get if seen is None else F.concat(get, post)
+                return F.coalesce(form_arguments(lossy(seen)), none)
             case "REQUEST_HEADERS":
                 return _headers(self._col("request_headers", PAIRS))
             case "RESPONSE_HEADERS":
-                return _headers(self._col("response_headers", PAIRS)) if self._phase >= 3 else none
+                return _headers(self._col("response_headers", PAIRS))
         return none
 
 

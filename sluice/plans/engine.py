@@ -258,7 +258,8 @@ class Evaluator:
         df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new])
         empty = {"stop": F.lit(-1), "allowed": F.lit(False), "tx": F.expr("cast(map() as map<string,string>)"), "scores": F.array(*[F.lit(0)] * len(LOADED)),
                  "hits": F.expr("cast(array() as array<string>)")}
-        out = df.withColumn(STATE, F.struct(*[empty[k].cast(t).alias(k) for k, t in _STATE.items()]))
+        used = {v.name for p in phases for r in self.ruleset.phases[p] for v in r.variables}
+        out = Request.prepared(df, used).withColumn(STATE, F.struct(*[empty[k].cast(t).alias(k) for k, t in _STATE.items()]))
         for p in phases:
             body = p == 2 and "has_request_body_phase" in df.columns
             out = self._phase(out, p, F.coalesce(F.col("has_request_body_phase"), F.lit(False)) if body else F.lit(True))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,3 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` materialised in the shared folder, so a lost executor costs no recomputation of its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to all executors, once in a Spark context. Python functions of queries import it there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sluice_shipped", False) or sc.master.startswith("local["):
+        return
+    package = pathlib.Path(__file__).resolve().parents[1]
+    if package.is_dir():
+        sc.addPyFile(shutil.make_archive(str(pathlib.Path(tempfile.mkdtemp(prefix="sluice-")) / "sluice_package"), "zip", package.parent, package.name))
+    sc._sluice_shipped = True
