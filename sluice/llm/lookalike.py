@@ -153,7 +153,7 @@ def _bigrams(text: Column) -> Column:
     def pairs(b: pd.Series) -> pd.Series:
         def one(t):
             base = "".join(c if c.isalpha() else " " for c in unicodedata.normalize("NFD", t or "") if unicodedata.category(c)[0] != "M")
-            base = f" {' '.join(base.split())} "
+            base = f" {' '.join(base.split())} " if base.strip() else ""
             return [base[i : i + 2] for i in range(len(base) - 1)]
 
         return b.map(one)
