@@ -194,3 +194,13 @@ def resolved(df: DataFrame, v: Variable, phase: int = 5, observed: bool = False)
         kept = F.array(F.struct(F.lit(v.name).alias("full_name"), request.scalar(v.name).alias("value")))
         return kept if scalar_selected(v) else F.filter(kept, lambda x: F.lit(False))
     return F.transform(selected(request.collection(v.name), v), lambda x: F.struct(F.concat(F.lit(v.name + ":"), x["name"]).alias("full_name"), x["value"].alias("value")))
+
+
+def count(pairs: Column) -> Column:
+    """Values of a collection, over all its names."""
+    return F.size(pairs)
+
+
+def count_key(pairs: Column, key: str) -> Column:
+    """Values of one name."""
+    return F.size(F.filter(pairs, lambda x: x["name"] == key))

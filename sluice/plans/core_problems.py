@@ -90,7 +90,48 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clients, p1_rules, p2_found, p2_locations, p3_found, p3_frequent, p5_found)}
 
+_Q = r'"(?:[^"]|"")*"'
+_LINE = "regexp_replace(coalesce(line_text, ''), '\r\\z', '')".replace("\r", "\\r")
+
+
+def _by_sep(sql: str) -> str:
+    """``sql`` for each separator, {s} being the separator in a pattern and {b} the blanks."""
+    marks = {"comma": (",", r" \t"), "semicolon": (";", r" \t"), "tab": (r"\t", " "), "pipe": (r"\|", r" \t")}
+    return "CASE sep " + " ".join("WHEN '{}' THEN {}".format(k, sql.replace("{s}", s).replace("{b}", b)) for k, (s, b) in marks.items()) + " END"
+
+
+_FIELD = rf'(?:[{{b}}]*{_Q}[{{b}}]*|[^{{s}}"]*)'
+_SIX = _by_sep("regexp_extract(t, '^" + "{s}".join([f"({_FIELD})"] * 6) + r"\z', ['a', 'b', 'c', 'd', 'e', 'f'])")
+_BARE = "(CASE WHEN starts_with({0}, '\"') THEN replace({0}[2:-2], '\"\"', '\"') ELSE {0} END)"
+_READ = f"""
+    lines AS (SELECT record_id, sep, {_LINE} AS t FROM location_records),
+    judged AS (SELECT record_id, sep, t, {_by_sep(f"regexp_matches(t, '^{_FIELD}(?:{{s}}{_FIELD})*" + chr(92) + "z')")} AS whole,
+        {_by_sep(f"regexp_matches(t, '^{_FIELD}(?:{{s}}{_FIELD}){{5}}" + chr(92) + "z')")} AS six, {_SIX} AS x FROM lines),
+    parts AS (SELECT *, {", ".join(_BARE.format(f"trim(x.{c}, ' ' || chr(9))") + f" AS {c}" for c in "abcdef")} FROM judged),
+    fine AS (SELECT *, (a = '' OR suffix(a, '.conf')) AND regexp_matches(b, '^[0-9]+\\z') AND regexp_matches(c, '^[0-9]+\\z')
+        AND coalesce(TRY_CAST(b AS HUGEINT) BETWEEN 1 AND 2147483647, false) AND coalesce(TRY_CAST(c AS HUGEINT) BETWEEN 1 AND 2147483647, false)
+        AND lower(d) IN ({", ".join(f"'{x.lower()}'" for x in malformed.DIRECTIVES)}) AND regexp_matches(e, '^[0-9]*\\z') AS ok FROM parts)"""
+_SEP = r"[^\w\s" + r"""\-.:/"'\\""" + "]"
+_SEP_SQL = _SEP.replace("'", "''")
+_PIECE = rf"""\s*("(?:[^"\\]|\\.|"")*"|'(?:[^'\\]|\\.|'')*'|(?:[\w\s\-.:/"'\\])*)\s*{_SEP}""".replace("'", "''")
+_NAMES = lambda names: ", ".join(f"'{n}'" for n in names)
+
 SQL = {
+    "p2_found": f"""WITH {_READ} SELECT record_id, CASE WHEN NOT whole THEN 'quoting' WHEN NOT six THEN 'column_count' ELSE 'value' END AS reason FROM fine WHERE NOT (six AND ok)""",
+    "p2_locations": f"""WITH {_READ} SELECT record_id, nullif(a, '') AS file, CAST(b AS INTEGER) AS line, CAST(c AS INTEGER) AS col, d AS directive, nullif(e, '') AS rule_id, f AS note
+        FROM fine WHERE six AND ok""",
+    "p5_found": rf"""
+        WITH args AS (SELECT tx_id, 'query_string' AS field, split_part(p, '=', 1) AS name, url_decode(substr(p, instr(p, '=') + 1)) AS v
+                      FROM (SELECT tx_id, unnest(string_split(query_string, '&')) AS p FROM http_transactions) WHERE contains(p, '=') AND split_part(p, '=', 1) IN ({_NAMES(PACKED_ARGUMENTS)})),
+             heads AS (SELECT tx_id, 'headers' AS field, lower(h.name) AS name, h.value AS v FROM (SELECT tx_id, unnest(request_headers) AS h FROM http_transactions)
+                       WHERE lower(h.name) IN ({_NAMES(PACKED_HEADERS)}) AND h.value IS NOT NULL),
+             lists AS (SELECT DISTINCT * FROM args UNION SELECT DISTINCT * FROM heads),
+             raw AS (SELECT tx_id, field, name, list_transform(regexp_extract_all(v || ',', '{_PIECE}', 1), lambda e: trim(e)) AS es FROM lists),
+             els AS (SELECT tx_id, field, name, list_filter(list_transform(es, lambda e: CASE
+                        WHEN len(e) > 1 AND e[1] = '"' AND e[-1] = '"' THEN replace(replace(e[2:-2], '""', '"'), chr(92) || '"', '"')
+                        WHEN len(e) > 1 AND e[1] = chr(39) AND e[-1] = chr(39) THEN replace(replace(e[2:-2], chr(39) || chr(39), chr(39)), chr(92) || chr(39), chr(39))
+                        ELSE e END), lambda e: e <> '') AS es FROM raw)
+        SELECT DISTINCT tx_id, field, name, pos, val FROM (SELECT tx_id, field, name, unnest(range(len(es)))::INTEGER AS pos, unnest(es) AS val FROM els)""",
     "p1_found": """
         SELECT 'client_ip' AS field, client_ip AS key_text FROM http_transactions WHERE client_ip IS NOT NULL
         GROUP BY client_ip HAVING count(*) * 100 >= 3 * (SELECT count(*) FROM http_transactions)

@@ -19,13 +19,11 @@ from ..functions.requests import Request, scalar_selected, selected
 from ..functions.transformations import apply_transformations, native_only, transformation
 from ..operators.predicates import Predicate, integer, predicate
 from ..seclang.parser import SCALARS
-from ..seclang.ruleset import Rule, Ruleset
+from ..seclang.ruleset import Rule, Ruleset, is_allow, is_terminal, outcome_status
 
 #: TX variables of the scores, those loaded from TX first.
 SCORES = ["anomaly_score", "sql_injection_score", "xss_score", "rfi_score", "lfi_score", "rce_score", "php_injection_score", "session_fixation_score"]
 LOADED = SCORES[:3]
-#: Statuses of interventions.
-DENIED, REDIRECTED, DROPPED = 403, 302, 444
 STATE, STEPS, SOME = "__state", "__steps", "__some"
 METADATA = "struct<id:string,msg:string,logdata:string,severity:int,tags:array<string>,maturity:int,accuracy:int,rev:string,ver:string>"
 INTERVENTION = f"struct<status:int,url:string,log:string,rule_ids:array<string>,phase:int,drop_connection:boolean,metadata:array<{METADATA}>>"
@@ -90,37 +88,22 @@ class Evaluator:
         return F.exists(p.many(texts), sign)
 
     def _tx_match(self, rule: Rule, tx: Column) -> tuple[Column, Column]:
-        """The same for the rule's TX values. TX holds what rules set: constant texts and sums. Python's part of
-        a transformation or operator is looked up for the constants and leaves numbers as they are."""
-        p, neg = predicate(rule.operator), rule.operator.negated
+        """The same for the rule's TX values, inside the fold, where no Python can run.
 
-        def text_of(v: Column) -> Column:
-            at = 0
-            texts = {t: t for t in self._texts}
-            for name in rule.transformations:
-                t = transformation(name)
-                if t.python:
-                    if at:
-                        raise NotImplementedError("Python transformations of TX values after others")
-                    texts = {k: t.python(x) for k, x in texts.items()}
-                else:
-                    if not at:
-                        v = lookup(v, texts)
-                    v, at = t.native(v), 1
-            return v if at else lookup(v, texts)
-
-        def lookup(v: Column, texts: dict[str, str]) -> Column:
-            changed = {k: x for k, x in texts.items() if k != x}
-            return reduce(lambda c, kx: F.when(v == kx[0], kx[1]).otherwise(c), changed.items(), v)
+        TX holds what rules set: constant texts and sums. If a transformation or the operator needs
+        Python, the answers for the constants are worked out beforehand; of sums, which Python's
+        decoders leave alone and its detectors don't mind, only the expressions' part is taken.
+        """
+        p, neg = predicate(rule.operator), rule.operator.negated
+        native = tuple(n for n in rule.transformations if transformation(n).native)
+        direct = lambda v: p.test(apply_transformations(v, native)) if p.test else F.lit(False)
+        known = {} if p.test and native == rule.transformations else self._known(rule, p)
 
         def hit(v: Column) -> Column:
-            if p.test:
-                got = p.test(text_of(v))
-            else:
-                if any(transformation(n).native for n in rule.transformations):
-                    raise NotImplementedError("this operator on transformed TX values")
-                py = lambda t: reduce(lambda x, n: transformation(n).python(x), rule.transformations, t)
-                got = v.isin([t for t in self._texts if p.python(py(t))])
+            got = direct(v)
+            for answer in (True, False):
+                if texts := [t for t, a in known.items() if a is answer]:
+                    got = F.when(v.isin(texts), F.lit(answer)).otherwise(got)
             return ~got if neg else got
 
         hits, some = [], []
@@ -132,6 +115,14 @@ class Evaluator:
                 hits.append(F.exists(pairs, lambda x: hit(x["value"])))
         return _or(hits), _or(some)
 
+    def _known(self, rule: Rule, p: Predicate) -> dict[str, bool]:
+        """Whether each text that rules set satisfies a rule's operator after its transformations (one row a text)."""
+        if not self._texts:
+            return {}
+        texts = self._spark.createDataFrame([(t,) for t in sorted(self._texts)], "t string")
+        out = apply_transformations(F.col("t"), rule.transformations)
+        return {r[0]: bool(r[1]) for r in texts.select("t", p.test(out) if p.test else p.single(out)).collect()}
+
     # A phase
 
     def _jump(self, rule: Rule, phase: int, i: int, n: int) -> int:
@@ -144,9 +135,7 @@ class Evaluator:
         return i + 1
 
     def _stops(self, rule: Rule) -> str | None:
-        if rule.disruptive == "allow":
-            return "allow"
-        return rule.disruptive if rule.disruptive in ("deny", "block", "redirect", "drop") and self.ruleset.mode == "On" else None
+        return rule.disruptive if is_allow(rule) or is_terminal(rule) and self.ruleset.mode == "On" else None
 
     def _phase(self, df: DataFrame, phase: int, invoked: Column) -> DataFrame:
         rules = self.ruleset.phases[phase]
@@ -242,7 +231,7 @@ class Evaluator:
         for p in range(1, 6):
             for r in self.ruleset.phases[p]:
                 m = r.metadata
-                status = {"redirect": REDIRECTED, "drop": DROPPED, "block": self.ruleset.default_status}.get(r.disruptive, DENIED)
+                status = outcome_status(r, self.ruleset.default_status)
                 out.append({
                     "status": status, "url": r.redirect, "log": m.msg, "rule_ids": [r.id] * 2 if r.id else [], "phase": p, "drop_connection": r.disruptive == "drop",
                     "metadata": [{**m.__dict__, "tags": list(m.tags)}]})
@@ -254,6 +243,7 @@ class Evaluator:
         Phase 2 runs for rows whose has_request_body_phase is true (for all, if the column is absent);
         other phases for all rows. Repeated rows get the same verdict each; an empty table stays empty.
         """
+        self._spark = df.sparkSession
         new = ("matched_rules", "intervention", "allowed", "anomaly_score", "tx")
         df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new])
         empty = {"stop": F.lit(-1), "allowed": F.lit(False), "tx": F.expr("cast(map() as map<string,string>)"), "scores": F.array(*[F.lit(0)] * len(LOADED)),
@@ -297,6 +287,12 @@ def _setvar(acc: Column, op: Column) -> Column:
     return F.struct(new.alias("tx"), F.when(op["key"] == LOADED[0], loaded).otherwise(scores).alias("scores"))
 
 
+def intervention(status: int = 403, phase: int = 1, url: str | None = None, log: str | None = None, rule_ids: tuple[str, ...] = (), drop_connection: bool = False) -> Column:
+    """An intervention of given parts. A URL makes it a redirect (302), dropping the connection a 444."""
+    status = 444 if drop_connection else 302 if url is not None else status
+    return _constant({"status": status, "url": url, "log": log, "rule_ids": list(rule_ids), "phase": phase, "drop_connection": drop_connection, "metadata": []}, INTERVENTION)
+
+
 def format_log(intervention: Column) -> Column:
     """``[status N] [rule_ids: a, b] [msg: …] [redirect: …] [phase: NAME]``, present parts only; null for no intervention."""
     from ..seclang.ruleset import PHASES

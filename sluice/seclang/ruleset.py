@@ -55,6 +55,21 @@ class Rule:
         return self.metadata.id
 
 
+def is_terminal(rule: Rule) -> bool:
+    """Whether a match ends the request with an intervention."""
+    return rule.disruptive in ("deny", "block", "redirect", "drop")
+
+
+def is_allow(rule: Rule) -> bool:
+    """Whether a match ends evaluation without one."""
+    return rule.disruptive == "allow"
+
+
+def outcome_status(rule: Rule, default_status: int = 403) -> int:
+    """The status a rule's disruptive action answers with; 200 where it lets the request pass."""
+    return {"deny": 403, "block": default_status, "redirect": 302, "drop": 444}.get(rule.disruptive, 200)
+
+
 def _values(actions: tuple[Action, ...], family: str, name: str | None = None) -> list:
     return [a.value for a in actions if a.family == family and (name is None or a.name == name)]
 

@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from interpreter import Row
 from sluice.functions import scoring
-from sluice.functions.requests import TRANSACTION, resolved
-from sluice.plans.engine import Evaluator, expand_macros, format_log
+from sluice.functions.requests import PAIRS, TRANSACTION, count, count_key, resolved
+from sluice.plans.engine import Evaluator, expand_macros, format_log, intervention
 from sluice.plans.transaction import Transaction
 from sluice.seclang.parser import EMPTY, parse_variables
-from sluice.seclang.ruleset import Ruleset
+from sluice.seclang.ruleset import Ruleset, is_allow, is_terminal, outcome_status
 
 ROW = "tx_id bigint, method string, uri string"
 
@@ -85,6 +85,8 @@ def test_scores_and_sync(spark):
 def test_python_parts_on_tx(spark):
     rules = 'SecRule REQUEST_URI "@contains a" "id:1,phase:1,setvar:tx.x=%3cscript%3e"\nSecRule TX:x "@contains <script" "id:2,phase:1,t:urlDecodeUni"\nSecRule TX "@detectXSS" "id:3,phase:1"'
     assert one(spark, rules, "/a").matched_rules == ["1", "2", "3"]
+    mixed = 'SecRule REQUEST_URI "@contains a" "id:1,phase:1,setvar:tx.x=%3CB"\nSecDefaultAction "phase:1,t:lowercase,t:urlDecodeUni,t:length"\nSecRule TX:x "@eq 2"\nSecRule TX:x "!@detectSQLi" "id:4,phase:1"'
+    assert one(spark, mixed, "/a").matched_rules == ["1", "4"]
 
 
 def test_phases_and_bodies(spark):
@@ -177,6 +179,13 @@ def test_pushed_transaction(spark):
 
 
 def test_helpers(spark):
+    rule = lambda action: Ruleset.from_string(f'SecRule ARGS "x" "phase:1,{action}"').phases[1][0]
+    assert [(outcome_status(rule(a), 429), is_terminal(rule(a)), is_allow(rule(a))) for a in ("deny", "block", "redirect:u", "drop", "allow", "pass", "log")] == [
+        (403, True, False), (429, True, False), (302, True, False), (444, True, False), (200, False, True), (200, False, False), (200, False, False)]
+    built = spark.range(1).select(format_log(intervention(url="u", log="m", rule_ids=("7",), phase=2)), intervention(drop_connection=True)["status"]).first()
+    assert tuple(built) == ("[status 302] [rule_ids: 7] [msg: m] [redirect: u] [phase: REQUEST_BODY]", 444)
+    pairs = spark.createDataFrame([([("a", "1"), ("a", "2"), ("b", "3")],)], f"c {PAIRS}")
+    assert tuple(pairs.select(count(F.col("c")), count_key(F.col("c"), "a")).first()) == (3, 2)
     df = spark.createDataFrame([({"anomaly_score": "25"},)], "tx map<string,string>")
     text = expand_macros(F.lit("Score is %{TX.anomaly_score}, matched %{MATCHED_VAR}%{TX.none}"), F.col("tx"), F.lit("<script>"))
     assert df.select(text).first()[0] == "Score is 25, matched <script>"
