@@ -192,13 +192,13 @@ def fit(samples: DataFrame, docs: DataFrame | None = None, text: str = "text", l
 
 
 def runs_of(texts: list[str | None], model: LanguageModel) -> list[list[tuple[int, str, float, int]]]:
-    """For each text its runs: (number, language, confidence, sentences)."""
+    """For each text its runs: (number, language, confidence, sentences). Confidence is the probability averaged over characters."""
     parts = [sentences(t) if t else [] for t in texts]
     flat = [normal(s) for p in parts for s in p]
     prob = model.probabilities(flat) if flat else np.zeros((0, len(model.languages)))
     out, at = [], 0
     for p in parts:
-        own = prob[at : at + len(p)]
+        own, size = prob[at : at + len(p)], np.array([len(s) for s in p])
         at += len(p)
         if not p:
             out.append([(0, NO_LANGUAGE, 1.0, 0)])
@@ -216,7 +216,7 @@ def runs_of(texts: list[str | None], model: LanguageModel) -> list[list[tuple[in
         mine, s = [], 0
         for e in range(1, len(path) + 1):
             if e == len(path) or path[e] != path[s]:
-                mine.append((len(mine), model.languages[path[s]], float(own[s:e, path[s]].mean()), e - s))
+                mine.append((len(mine), model.languages[path[s]], float(np.average(own[s:e, path[s]], weights=size[s:e])), e - s))
                 s = e
         out.append(mine)
     return out

@@ -76,4 +76,10 @@ def p8_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_canonical, p6_found, p6_reparameterised, p7_found, p7_mix, p7_shares, p8_found, p8_runs)}
-SQL: dict[str, str] = {}
+_WORDS = "SELECT {0} AS id, regexp_extract_all(replace(strip_accents(lower(text)), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+') AS ws FROM {1} WHERE text IS NOT NULL"
+_WINDOWS = "SELECT id, array_to_string(ws[i:i + 11], ' ') AS g FROM (SELECT id, ws, unnest(range(1, len(ws) - 10)) AS i FROM ({}) WHERE len(ws) >= 12)"
+SQL = {
+    "p6_found": f"""
+        SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM ({_WINDOWS.format(_WORDS.format("doc_id", "documents"))}) d
+        JOIN ({_WINDOWS.format(_WORDS.format("item_id", "eval_items"))}) i ON d.g = i.g""",
+}
