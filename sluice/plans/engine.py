@@ -37,6 +37,11 @@ def _constant(value: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _or(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, parts, F.lit(False))
 
@@ -207,12 +212,12 @@ class Evaluator:
             closed = F.struct(*same("stop", "allowed", "tx", "scores", "hits", "done", "jump"), put("inside", F.lit(False)), put("linked", F.lit(False)))
             vars_ = F.aggregate(r["ops"], F.struct(*same("tx", "scores")), _setvar)
             opened = acc["inside"] | r["opens"]
-            hit = F.struct(
+            hit = _let(vars_, lambda now: F.struct(
                 put("stop", F.when(r["stop"] == 1, r["i"] + base).otherwise(acc["stop"])), put("allowed", acc["allowed"] | (r["stop"] == 2)),
-                put("tx", vars_["tx"]), put("scores", vars_["scores"]),
+                put("tx", now["tx"]), put("scores", now["scores"]),
                 put("hits", F.when(r["id"].isNull(), acc["hits"]).otherwise(F.array_append(acc["hits"], r["id"]))),
                 put("done", r["stop"] > 0), put("jump", r["jump"]),
-                put("inside", opened & r["chain"]), put("linked", r["chain"] & F.when(acc["inside"], acc["linked"]).otherwise(r["opens"])))
+                put("inside", opened & r["chain"]), put("linked", r["chain"] & F.when(acc["inside"], acc["linked"]).otherwise(r["opens"]))))
             miss = F.struct(
                 *same("stop", "allowed", "tx", "scores", "hits", "done", "jump"), put("inside", acc["inside"] & r["chain"]), put("linked", F.lit(False)))
             return F.when(idle, acc).when(broken, closed).when(matched, hit).otherwise(miss)
@@ -283,8 +288,8 @@ def _setvar(acc: Column, op: Column) -> Column:
     total = (F.coalesce(integer(F.try_element_at(tx, op["key"])), F.lit(0)) + op["n"]).cast("string")
     new = F.when(op["kind"] == "delete", F.map_filter(tx, lambda k, v: k != op["key"])).otherwise(
         _put(tx, op["key"], F.when(op["kind"] == "add", total).otherwise(op["text"])))
-    loaded = F.array(*[_counter(new, k, F.get(scores, F.lit(i))) for i, k in enumerate(LOADED)])
-    return F.struct(new.alias("tx"), F.when(op["key"] == LOADED[0], loaded).otherwise(scores).alias("scores"))
+    loaded = lambda now: F.array(*[_counter(now, k, F.get(scores, F.lit(i))) for i, k in enumerate(LOADED)])
+    return _let(new, lambda now: F.struct(now.alias("tx"), F.when(op["key"] == LOADED[0], loaded(now)).otherwise(scores).alias("scores")))
 
 
 def intervention(status: int = 403, phase: int = 1, url: str | None = None, log: str | None = None, rule_ids: tuple[str, ...] = (), drop_connection: bool = False) -> Column:
