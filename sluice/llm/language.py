@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 NO_LANGUAGE = "und"
 #: Dimensions n-grams are hashed to, and their lengths.
 DIMENSIONS, LENGTHS = 1 << 16, (1, 2, 3, 4)
-#: Most labelled documents used for training besides the clean samples, and most sentences in all.
-TRAINING_DOCUMENTS, TRAINING_SENTENCES = 2000, 6000
+#: Most labelled documents used for training besides the clean samples, sentences of each, and most sentences in all.
+TRAINING_DOCUMENTS, SENTENCES_EACH, TRAINING_SENTENCES = 2000, 3, 6000
 #: Log cost of a change of language between neighbouring sentences.
 CHANGE = 1.0
 #: Characters from which a sentence counts fully as evidence; shorter ones count in proportion.
@@ -169,8 +169,8 @@ def _with_accents_lost(texts: list[str], labels: list[str]) -> tuple[list[str],
 def fit(samples: DataFrame, docs: DataFrame | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> LanguageModel:
     """Trains on clean samples, then once more with sentences of labelled documents on which label and first model agree.
 
-    At most TRAINING_SENTENCES samples and TRAINING_DOCUMENTS documents, those of the smallest hashed ids,
-    reach the driver. Without any usable sample this raises.
+    At most TRAINING_SENTENCES samples and SENTENCES_EACH sentences of TRAINING_DOCUMENTS documents, those of
+    the smallest hashed ids, reach the driver. Without any usable sample this raises.
     """
     usable = samples.select(F.col(text).alias("t"), label_language(F.col(lang)).alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.col("l") != NO_LANGUAGE))
     rows = usable.orderBy(F.xxhash64("t"), "t").limit(TRAINING_SENTENCES).collect()
@@ -181,8 +181,8 @@ def fit(samples: DataFrame, docs: DataFrame | None = None, text: str = "text", l
     if docs is None:
         return model
     labelled = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), label_language(F.col(lang)).alias("l")).where(F.col("t").isNotNull() & F.col("l").isin(list(model.languages)))
-    more = labelled.orderBy(F.xxhash64("i"), "i").limit(TRAINING_DOCUMENTS).select(F.col("t").substr(1, 2000), "l").collect()
-    cand = [(s, l) for t, l in more for s in sentences(t)[:3]][:TRAINING_SENTENCES]
+    more = labelled.orderBy(F.xxhash64("i"), "i").limit(TRAINING_DOCUMENTS).select(F.slice(F.split("t", SENTENCE.pattern), 1, SENTENCES_EACH), "l").collect()
+    cand = [(s, l) for ts, l in more for s in ts if WORD.search(s)][:TRAINING_SENTENCES]
     if cand:
         p = model.probabilities([normal(s) for s, _ in cand])
         agree = [(s, l) for (s, l), k in zip(cand, p.argmax(axis=1)) if model.languages[k] == l]
