@@ -24,17 +24,18 @@ def frequent_items(df: DataFrame, columns: list[str], share: float, hashes: int
     if not 0 < share <= 1:
         raise ValueError("share must be in (0, 1]")
     buckets = buckets or 1 << max(10, math.ceil(math.log2(32 / share)))
-    rows = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    rows = df.select(*[F.col(f"`{c}`").cast("string").alias(f"v{i}") for i, c in enumerate(columns)])
     least = max(1, math.ceil(rows.count() * share - 1e-9))
-    slot = lambda c, h: F.pmod(F.xxhash64(F.lit(h), F.col(c)), F.lit(buckets)).cast("int")
+    value = lambda i: F.col(f"v{i}")
+    slot = lambda i, h: F.pmod(F.xxhash64(F.lit(h), value(i)), F.lit(buckets)).cast("int")
     # One slot number for every column, hash and bucket; a null has none.
-    slots = F.array(*[F.when(F.col(c).isNotNull(), slot(c, h) + (i * hashes + h) * buckets) for i, c in enumerate(columns) for h in range(hashes)])
+    slots = F.array(*[F.when(value(i).isNotNull(), slot(i, h) + (i * hashes + h) * buckets) for i in range(len(columns)) for h in range(hashes)])
     full = [r[0] for r in rows.select(F.explode(slots).alias("slot")).where(F.col("slot").isNotNull()).groupBy("slot").count().where(F.col("count") >= least).select("slot").collect()]
     kept = []
     for i, c in enumerate(columns):
-        passes = F.col(c).isNotNull()
+        passes = value(i).isNotNull()
         for h in range(hashes):
-            passes &= slot(c, h).isin([s % buckets for s in full if s // buckets == i * hashes + h])
-        kept.append(F.when(passes, F.struct(F.lit(c).alias("field"), F.col(c).alias("key_text"))))
+            passes &= slot(i, h).isin([s % buckets for s in full if s // buckets == i * hashes + h])
+        kept.append(F.when(passes, F.struct(F.lit(c).alias("field"), value(i).alias("key_text"))))
     found = rows.select(F.explode(F.filter(F.array(*kept), lambda x: x.isNotNull())).alias("v")).select("v.*")
     return found.groupBy("field", "key_text").agg(F.count("*").alias("n")).where(F.col("n") >= least)

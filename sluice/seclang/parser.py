@@ -83,13 +83,13 @@ def _unquote(body: str) -> str:
 
 def tokens(text: str) -> Iterator[Token]:
     """Tokens up to the end, or up to a character no token starts with (such as a bare carriage return)."""
-    at = 0
+    at, counted, line = 0, 0, 1
     while m := _TOKEN.match(text, at):
         at, kind = m.end(), m.lastgroup
         if kind == "stray":
             continue
         raw, start = m[kind], m.start(kind)
-        line = text.count("\n", 0, start) + 1
+        line, counted = line + text.count("\n", counted, start), start
         if kind == "quoted":
             closed = len(raw) > 1 and raw[-1] == raw[0] and not re.search(r"(?<!\\)(?:\\\\)*\\\Z", raw[1:-1])
             yield Token(kind, _unquote(raw[1:-1] if closed else raw[1:]), line, start)
