@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.python_decoders import html_entity_decode
 from ..functions.regex import to_java
+from ..functions.transformations import url_decode
 
 #: Texts one of which a text must hold (in lower case) to be looked at for SQL.
 SQL_HINTS = [
@@ -218,20 +219,73 @@ def _flags(decide, many: bool):
     return flags
 
 
-sqli_tokens_flag = {m: _flags(lambda t: sqli_by_tokens(t) is not None, m) for m in (False, True)}
+#: The tokens of ``_SQL_TOKEN`` for the JVM; which kind one is shows in its first characters.
+_TOKENS = (
+    r"(?s)'(?:\\.|[^'\\]|\\\z)*+(?:'|\z)|\"(?:\\.|[^\"\\]|\\\z)*+(?:\"|\z)|--[^\n]*+|/\*(?:(?!\*/).)*?(?:\*/|(?=.?\z))"
+    r"|0x[0-9A-Fa-f]*+|[0-9][0-9.]*+|[A-Za-z_@][A-Za-z0-9_@]*+|<=|<>|>=|!=|\|\||&&|[=<>!+\-*/%&|^~;]|[()]")
+#: Fingerprints within a text's, three keywords anywhere; a lone function is the one fingerprint that must be the whole.
+_PRINTS = "|".join(sorted(f for f in SQL_FINGERPRINTS if len(f) > 1)) + "|k.*k.*k"
+
+
+def sqli_by_token_kinds(v: Column) -> Column:
+    """Whether ``sqli_by_tokens`` finds anything, as an expression. (A comment before a keyword and an equality of equals are fingerprints too.)"""
+    def kind(t: Column) -> Column:
+        first, up = F.substr(t, F.lit(1), F.lit(1)), F.upper(t)
+        word = F.when(up.isin("AND", "OR", "NOT", "XOR"), "&").when(F.find_in_set(up, F.lit(",".join(sorted(SQL_FUNCTIONS)))) > 0, "f").when(F.find_in_set(up, F.lit(",".join(sorted(SQL_KEYWORDS)))) > 0, "k").otherwise("U")
+        return (F.when(first.isin("'", '"'), "s").when(t.startswith("--") | t.startswith("/*"), "c").when(first.between("0", "9"), "1").when(first == "@", "v")
+                .when(first.rlike("[A-Za-z_]"), word).when(first.isin("(", ")"), "E").otherwise("o"))
+
+    def bare(t: Column) -> Column:
+        return F.upper(F.regexp_replace(F.regexp_replace(t, r"""(?s)\A(?:'(.*?)'?|"(.*?)"?)\z""", "$1$2"), r"(?s)\\(.)", "$1"))
+
+    def judge(tokens: Column) -> Column:
+        prints = F.array_join(F.transform(tokens, kind), "")
+        at = F.filter(F.transform(tokens, lambda t, i: F.when(bare(t) == "UNION", i)), lambda i: i.isNotNull())
+        union = F.exists(at, lambda i: F.coalesce(bare(F.get(tokens, i + 1)) == "SELECT", F.lit(False)))
+        return prints.rlike(_PRINTS) | (prints == "f") | union
+
+    return F.exists(F.array(F.regexp_extract_all(v, F.lit(_TOKENS), F.lit(0))), judge)
+
+
+def sqli_test(v: Column) -> Column:
+    """Whether a text is an SQL injection; null for null."""
+    return F.when(sqli_hinted(v), F.when(sqli_by_pattern(v), F.lit(True)).otherwise(sqli_by_token_kinds(v))).otherwise(F.lit(False))
+
+
+def xss_normal_native(v: Column) -> Column:
+    """``xss_normal`` of texts without entities."""
+    v = F.replace(url_decode(v), F.lit("\0"), F.lit(""))
+    v = F.when(F.contains(v, F.lit("< ")), F.regexp_replace(v, r"(?U)<\s+", "<")).otherwise(v)
+    return F.when(v.rlike(" =|= "), F.regexp_replace(v, r"(?U)\s*=\s*", "=")).otherwise(v)
+
+
+def xss_coded(v: Column) -> Column:
+    """Whether a text may hold entities, which only Python resolves."""
+    return v.rlike("&(?:#[0-9]|#[xX][0-9A-Fa-f]|[A-Za-z])[A-Za-z0-9]*;")
+
+
+def xss_native(v: Column) -> Column:
+    """Whether a text is a script injection as it is or, without entities, in normal form."""
+    late = xss_open(v) & ~xss_coded(v)
+    return F.when(xss_hinted(v), F.when(xss_by_pattern(v), F.lit(True)).when(late, xss_by_pattern(xss_normal_native(v))).otherwise(F.lit(False))).otherwise(F.lit(False))
+
+
+def xss_left(v: Column) -> Column:
+    """The texts whose entities Python has to resolve, else null."""
+    return F.when(xss_coded(v) & xss_hinted(v) & ~xss_by_pattern(v), v)
+
+
 xss_normal_flag = {m: _flags(lambda t: _xss_plain(xss_normal(t)) is not None, m) for m in (False, True)}
 
 
 def detect_sqli(v: Column) -> Column:
-    """Whether a text column holds SQL injections; null is none. Only hinted texts without a pattern reach Python."""
-    open_ = F.when(sqli_hinted(v) & ~sqli_by_pattern(v), v)
-    return F.coalesce(sqli_hinted(v) & sqli_by_pattern(v), F.lit(False)) | sqli_tokens_flag[False](open_)
+    """Whether a text column holds SQL injections; null is none."""
+    return F.coalesce(sqli_test(v), F.lit(False))
 
 
 def detect_xss(v: Column) -> Column:
-    """Whether a text column holds script injections; null is none. Only hinted, encoded texts without a pattern reach Python."""
-    open_ = F.when(xss_hinted(v) & ~xss_by_pattern(v) & xss_open(v), v)
-    return F.coalesce(xss_hinted(v) & xss_by_pattern(v), F.lit(False)) | xss_normal_flag[False](open_)
+    """Whether a text column holds script injections; null is none."""
+    return F.coalesce(xss_native(v), F.lit(False)) | xss_normal_flag[False](xss_left(v))
 
 
 def detection(v: Column, kind: str) -> Column:

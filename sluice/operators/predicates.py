@@ -151,22 +151,17 @@ def _ip(items: list[str]) -> Predicate:
     return Predicate(single=lambda v: flags[False](v), many=lambda vs: flags[True](vs), python=python)
 
 
-def _staged(hinted, by_pattern, open_, flags, python) -> Predicate:
-    """A detector over arrays: flags of texts that patterns decide, and Python's of the open ones (others go as null)."""
+def _xss() -> Predicate:
+    """Over arrays, Python is asked only where a text with entities is left, and gets the other texts as null."""
     def many(vs: Column) -> Column:
-        left = F.transform(vs, lambda v: F.when(hinted(v) & ~by_pattern(v) & open_(v), v))
-        need = F.exists(left, lambda v: v.isNotNull())
-        late = flags[True](F.when(need, left))
-        return F.zip_with(vs, F.coalesce(late, F.transform(vs, lambda v: F.lit(False))), lambda v, f: (hinted(v) & by_pattern(v)) | F.coalesce(f, F.lit(False)))
+        left = F.transform(vs, detectors.xss_left)
+        late = detectors.xss_normal_flag[True](F.when(F.exists(left, lambda v: v.isNotNull()), left))
+        return F.zip_with(vs, F.coalesce(late, F.transform(vs, lambda v: F.lit(False))), lambda v, f: detectors.xss_native(v) | F.coalesce(f, F.lit(False)))
 
-    def single(v: Column) -> Column:
-        return _sure(hinted(v) & by_pattern(v)) | flags[False](F.when(hinted(v) & ~by_pattern(v) & open_(v), v))
+    return Predicate(single=detectors.detect_xss, many=many, python=detectors.is_xss)
 
-    return Predicate(single=single, many=many, python=python)
 
-
-_SQLI = _staged(detectors.sqli_hinted, detectors.sqli_by_pattern, lambda v: F.lit(True), detectors.sqli_tokens_flag, detectors.is_sqli)
-_XSS = _staged(detectors.xss_hinted, detectors.xss_by_pattern, detectors.xss_open, detectors.xss_normal_flag, detectors.is_xss)
+_SQLI, _XSS = Predicate(lambda v: _sure(detectors.sqli_test(v)), python=detectors.is_sqli), _xss()
 
 _BUILD: dict[str, Callable[[str], Predicate]] = {
     "rx": _rx, "pm": lambda a: _phrases(a.split()), "pmfromfile": lambda a: _phrases(_lines(a, PHRASE_PLACES)),

@@ -10,6 +10,7 @@ phase shuffles.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,13 +19,13 @@ from pyspark.sql import functions as F
 from ..functions.requests import Request, scalar_selected, selected
 from ..functions.transformations import apply_transformations, native_only, transformation
 from ..operators.predicates import Predicate, integer, predicate
-from ..seclang.parser import SCALARS
+from ..seclang.parser import COLLECTIONS, SCALARS
 from ..seclang.ruleset import Rule, Ruleset, is_allow, is_terminal, outcome_status
 
 #: TX variables of the scores, those loaded from TX first.
 SCORES = ["anomaly_score", "sql_injection_score", "xss_score", "rfi_score", "lfi_score", "rce_score", "php_injection_score", "session_fixation_score"]
 LOADED = SCORES[:3]
-STATE, STEPS, SOME = "__state", "__steps", "__some"
+STATE, STEPS, SOME, SHARED = "__state", "__steps", "__some", "__shared_"
 METADATA = "struct<id:string,msg:string,logdata:string,severity:int,tags:array<string>,maturity:int,accuracy:int,rev:string,ver:string>"
 INTERVENTION = f"struct<status:int,url:string,log:string,rule_ids:array<string>,phase:int,drop_connection:boolean,metadata:array<{METADATA}>>"
 _OPS = "array<struct<key:string,kind:string,text:string,n:bigint>>"
@@ -56,42 +57,60 @@ class Evaluator:
 
     # Matching
 
-    def _match(self, request: Request, rule: Rule) -> tuple[Column, Column | None]:
-        """Whether any value outside TX satisfies the rule, and whether there is a value (None: always)."""
-        p, neg = predicate(rule.operator), rule.operator.negated
+    @staticmethod
+    def _share(df: DataFrame, request: Request, rules: list[Rule]) -> tuple[DataFrame, dict]:
+        """``df`` with a column for every variable's transformed texts that several rules read or Python makes, and where they are."""
+        uses = Counter((v, r.transformations) for r in rules for v in dict.fromkeys(r.variables) if r.transformations and v.name != "TX" and (v.name in COLLECTIONS or scalar_selected(v)))
+        wanted = [k for k, n in uses.items() if n > 1 or not native_only(k[1])]
+        columns = {}
+        for i, (v, names) in enumerate(wanted):
+            if v.name in SCALARS:
+                columns[f"{SHARED}{i}"] = apply_transformations(request.scalar(v.name), names)
+            else:
+                columns[f"{SHARED}{i}"] = apply_transformations(F.transform(selected(request.collection(v.name), v), lambda x: x["value"]), names, many=True)
+        return df.withColumns(columns) if columns else df, {k: F.col(f"{SHARED}{i}") for i, k in enumerate(wanted)}
+
+    @staticmethod
+    def _match(request: Request, rule: Rule, shared: dict, flags: dict) -> tuple[Column, Column | None]:
+        """Whether any value outside TX satisfies the rule, and whether there is a value (None: always).
+
+        ``shared`` has transformed texts, ``flags`` what Python said of them for earlier rules of the phase.
+        """
+        p, neg, names = predicate(rule.operator), rule.operator.negated, rule.transformations
+        sign = lambda hit: ~hit if neg else hit
         hits: list[Column] = []
         some: list[Column] = []
         always = False
         for v in rule.variables:
+            ready = shared.get((v, names))
+            asked = (v, names, rule.operator.name, rule.operator.argument)
             if v.name in SCALARS:
-                if scalar_selected(v):
-                    always = True
-                    hits.append(self._one(apply_transformations(request.scalar(v.name), rule.transformations), p, neg))
-            elif v.name not in ("TX",):
+                if not scalar_selected(v):
+                    continue
+                always = True
+                if p.constant is not None:
+                    hits.append(F.lit(p.constant != neg))
+                    continue
+                text = apply_transformations(request.scalar(v.name), names) if ready is None else ready
+                if not p.test and asked not in flags:
+                    flags[asked] = p.single(text)
+                hits.append(sign(p.test(text) if p.test else flags[asked]))
+            elif v.name in COLLECTIONS and v.name != "TX":
                 pairs = selected(request.collection(v.name), v)
                 some.append(F.size(pairs) > 0)
-                hits.append(self._any(pairs, rule.transformations, p, neg))
+                if p.constant is not None:
+                    hits.append(F.size(pairs) > 0 if p.constant != neg else F.lit(False))
+                elif p.test and ready is None:  # then the pipeline is native
+                    hits.append(F.exists(pairs, lambda x: sign(p.test(apply_transformations(x["value"], names)))))
+                else:
+                    texts = F.transform(pairs, lambda x: x["value"]) if ready is None and not names else ready
+                    if texts is None:
+                        texts = apply_transformations(F.transform(pairs, lambda x: x["value"]), names, many=True)
+                    if not p.test and asked not in flags:
+                        flags[asked] = p.many(texts)
+                    hits.append(F.exists(texts, lambda t: sign(p.test(t))) if p.test else F.exists(flags[asked], sign))
         return _or(hits), None if always else _or(some)
 
-    @staticmethod
-    def _one(text: Column, p: Predicate, neg: bool) -> Column:
-        if p.constant is not None:
-            return F.lit(p.constant != neg)
-        hit = p.test(text) if p.test else p.single(text)
-        return ~hit if neg else hit
-
-    @staticmethod
-    def _any(pairs: Column, names: tuple[str, ...], p: Predicate, neg: bool) -> Column:
-        if p.constant is not None:
-            return (F.size(pairs) > 0) if p.constant != neg else F.lit(False)
-        sign = lambda hit: ~hit if neg else hit
-        if p.test and native_only(names):
-            return F.exists(pairs, lambda x: sign(p.test(apply_transformations(x["value"], names))))
-        texts = apply_transformations(F.transform(pairs, lambda x: x["value"]), names, many=True)
-        if p.test:
-            return F.exists(texts, lambda t: sign(p.test(t)))
-        return F.exists(p.many(texts), sign)
-
     def _tx_match(self, rule: Rule, tx: Column) -> tuple[Column, Column]:
         """The same for the rule's TX values, inside the fold, where no Python can run.
 
@@ -150,9 +169,11 @@ class Evaluator:
         base = sum(len(self.ruleset.phases[q]) for q in range(1, phase))
         tx_rules = {i: r for i, r in enumerate(rules) if any(v.name == "TX" for v in r.variables)}
         chained = any(r.is_chain and self._jump(r, phase, i, len(rules)) != i + 1 for i, r in enumerate(rules))
+        df, shared = self._share(df, request, rules)
+        flags: dict = {}
         steps, filled = [], {}
         for i, r in enumerate(rules):
-            hit, some = self._match(request, r)
+            hit, some = self._match(request, r, shared, flags)
             if i in tx_rules:
                 filled[i] = F.lit(True) if some is None else some
             elif some is not None and r.operator.negated and r.variables:
@@ -167,7 +188,7 @@ class Evaluator:
         going = invoked & (F.col(STATE)["stop"] < 0) & ~F.col(STATE)["allowed"]
         plain = not tx_rules and not any(r.flow or r.setvars for r in rules)
         after = self._plain(rules, base) if plain else self._fold(rules, phase, base, tx_rules, list(filled))
-        return df.withColumn(STATE, F.when(going, after).otherwise(F.col(STATE))).drop(STEPS, SOME)
+        return df.withColumn(STATE, F.when(going, after).otherwise(F.col(STATE))).drop(STEPS, SOME, *[f"{SHARED}{i}" for i in range(len(shared))])
 
     def _plain(self, rules: list[Rule], base: int) -> Column:
         """Rules that only match and stop: hits up to the first that stops. Every step is a match here."""

@@ -323,6 +323,10 @@ _add("src_rules_string", lambda s, d: _rule_rows(s, Ruleset.from_string(RULE_FIL
 _add("src_rules_file", lambda s, d: _rule_rows(s, Ruleset.from_file(_rule_files() + "/a.conf")), _rules_sql.format(""))
 _rules_all = _rules_sql.format(", (5, 0, '3', 'unconditionalmatch', '', false, '[id \"3\"]')")
 _add("src_rules_glob", lambda s, d: _rule_rows(s, Ruleset.from_glob(_rule_files() + "/*.conf")), _rules_all)
+_add("src_rules_remote", lambda s, d: _rule_rows(s, Ruleset.from_remote(s, "file://" + _rule_files() + "/*.conf")), _rules_all)
+_add("src_rules_table", lambda s, d: Ruleset.from_frame(table(s, d, "rules"), skip_unusable=True).rules_frame(s).select("id", "phase", "operator", "negated", F.size("variables").alias("n_variables"), "is_chain"),
+     "SELECT rule_id AS id, phase, lower(replace(replace(op_name, '!', ''), '@', '')) AS operator, starts_with(op_name, '!') AS negated, CAST(len(variables) AS INTEGER) AS n_variables, is_chain "
+     "FROM rules WHERE NOT (argument = '' AND op_name IN ('@rx', '@pm'))")
 _add("src_markers", lambda s, d: Ruleset.from_string(RULE_FILE).markers_frame(s), "SELECT 'DONE' AS name, 1 AS phase, 1 AS idx")
 
 

@@ -6,7 +6,8 @@ from dataclasses import dataclass, field
 
 from ..functions.transformations import pipeline
 from .ast import Action, Directive, Operator, SetVar, Variable
-from .parser import Parser
+from .errors import RuleError
+from .parser import Parser, parse_operator, parse_variables
 
 #: Names of the phases, from 1.
 PHASES = ("REQUEST_HEADERS", "REQUEST_BODY", "RESPONSE_HEADERS", "RESPONSE_BODY", "LOGGING")
@@ -112,6 +113,40 @@ class Ruleset:
     def from_glob(cls, pattern: str, **options) -> Ruleset:
         return cls.compile(Parser().glob(pattern).directives, **options)
 
+    @classmethod
+    def from_remote(cls, spark, path: str, **options) -> Ruleset:
+        """Files (or a pattern of them) that only Spark's file systems reach, in the order of their paths."""
+        from pyspark.sql import functions as F
+
+        parser = Parser()
+        for name, text in spark.read.text(path, wholetext=True).select(F.input_file_name(), "value").sort(F.input_file_name()).collect():
+            parser.text(text, name)
+        return cls.compile(parser.directives, **options)
+
+    @classmethod
+    def from_frame(cls, rules, skip_unusable: bool = False, **options) -> Ruleset:
+        """A table of rules in its columns rule_id, phase, op_name, argument, variables, transformations, severity, msg, tags and is_chain.
+
+        Rules match and count; they stop nothing. They keep the order of ``rules``, a table small by its nature. Rules
+        that can't be used (such as a phrase operator without phrases) raise, or are left out with ``skip_unusable``.
+        """
+        from ..operators.predicates import check
+
+        out = cls(**options)
+        for r in rules.select("rule_id", "phase", "op_name", "argument", "variables", "transformations", "severity", "msg", "tags", "is_chain").collect():
+            try:
+                operator = parse_operator(f"{r.op_name} {r.argument or ''}")
+                check(operator)
+                steps = pipeline(r.transformations or [])
+                variables = parse_variables("|".join(r.variables or []))
+            except RuleError:
+                if not skip_unusable:
+                    raise
+                continue
+            meta = Metadata(id=r.rule_id, msg=r.msg, severity=r.severity, tags=tuple(r.tags or ()))
+            out.add(Rule(r.phase if r.phase and 1 <= r.phase <= 5 else 2, variables, operator, steps, meta, is_chain=bool(r.is_chain), flow="chain" if r.is_chain else None))
+        return out
+
     @classmethod
     def compile(cls, directives: list[Directive], default_status: int = 403) -> Ruleset:
         """Checks names and arguments. The last engine mode holds for all; markers stand before the next phase-1 rule."""

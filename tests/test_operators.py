@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -88,6 +89,24 @@ def test_detectors(spark):
             assert (detectors.is_sqli if kind == "q" else detectors.is_xss)(text) is want, text
 
 
+def test_token_kinds_agree_with_tokens(spark):
+    """The expression and the tokeniser on random texts of SQL's pieces."""
+    rng = random.Random(2)
+    pieces = ["'", '"', "\\", "--", "/*", "*/", "\n", " ", " ", "0x1F", "12", "1.", "@a", "or", "AND", "select", "union", "sleep", "count", "abc", "<=", "=", "&&", "(", ")", ";", "#", "'a'", "'UNION'", "é"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(4000)] + ["", "'", "\"a\\", "/*", "/*a", "'union' select", "'a' = 'a'", "f", "sleep"]
+    df = spark.createDataFrame([(t, detectors.sqli_by_tokens(t) is not None, detectors.is_sqli(t)) for t in texts], "v string, tokens boolean, sqli boolean")
+    wrong = df.select("v", "tokens", "sqli", detectors.sqli_by_token_kinds(F.col("v")).alias("t"), detectors.detect_sqli(F.col("v")).alias("s")).where("t <> tokens or s <> sqli")
+    assert not wrong.take(5)
+
+
+def test_scripts_agree_with_python(spark):
+    rng = random.Random(4)
+    pieces = ["<", " ", "script", ">", "%3C", "%3c", "&lt;", "&#x3c;", "&bogus;", "on", "click", " =", "= ", "=", "java", "javascript", ":", "%00", "\0", "%FF", "img", "eval", "(", "é", "&", "/"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 7))) for _ in range(4000)]
+    df = spark.createDataFrame([(t, detectors.is_xss(t)) for t in texts], "v string, want boolean")
+    assert not df.select("v", "want", detectors.detect_xss(F.col("v")).alias("hit")).where("hit <> want").take(5)
+
+
 def test_fingerprints(spark):
     df = spark.createDataFrame([("1' OR '1'='1",), ("sleep",), ("hello",)], "v string")
     assert [r[0] for r in df.select(detectors.detection(F.col("v"), "sqli")["fingerprint"]).collect()] == ["s&1", "f", None]
