@@ -63,23 +63,25 @@ def own_vocabulary(items: DataFrame, text: str = "text") -> list[str]:
 
 
 def windows(df: DataFrame, key: str, text: str, vocabulary: list[str], size: int = WINDOW) -> DataFrame:
-    """(key, words, at, h): every window of ``size`` words with the hash of its template. Shorter texts have none."""
+    """(key, h, w): the words of every window of ``size`` words and the hash of its template. Shorter texts have none.
+
+    A row holds its own words only, so a text of any length takes space in proportion.
+    """
     typed = F.transform(F.array(words(F.col(text))), lambda ws: F.struct(ws.alias("w"), F.transform(ws, lambda w: _typed(w, vocabulary)).alias("t")))
     one = df.select(F.col(key), F.explode(typed).alias("x")).where(F.size("x.w") >= size)
     at = F.sequence(F.lit(1), F.size("x.w") - size + 1)
-    hashes = F.transform(at, lambda i: F.xxhash64(F.slice(F.col("x.t"), i, size)))
-    return one.select(F.col(key), F.col("x.w").alias("words"), F.posexplode(hashes).alias("at", "h"))
+    each = F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(F.col("x.t"), i, size)).alias("h"), F.slice(F.col("x.w"), i, size).alias("w")))
+    return one.select(F.col(key), F.explode(each).alias("y")).select(key, "y.h", "y.w")
 
 
 def window_pairs(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str = "text", size: int = WINDOW) -> DataFrame:
     """Pairs of windows with one template: (doc id, item id, d, i) with ``d`` and ``i`` the windows' words."""
     vocabulary = own_vocabulary(items, text)
-    slice_ = lambda: F.slice("words", F.col("at") + 1, size)
-    theirs = windows(items.select(item_id, text), item_id, text, vocabulary, size).select(item_id, "h", slice_().alias("i")).distinct()
+    theirs = windows(items.select(item_id, text), item_id, text, vocabulary, size).select(item_id, "h", F.col("w").alias("i")).distinct()
     if theirs.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         theirs = F.broadcast(theirs)
     ours = windows(docs.select(doc_id, text), doc_id, text, vocabulary, size)
-    return ours.join(theirs, "h").select(doc_id, item_id, slice_().alias("d"), "i")
+    return ours.join(theirs, "h").select(doc_id, item_id, F.col("w").alias("d"), "i")
 
 
 def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
