@@ -6,29 +6,103 @@ A part is (tx_id, seq, kind, name, value, data, ts): kind ``uri`` (value: URI, n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.requests import PAIRS
 
 PART = "tx_id bigint, seq int, kind string, name string, value string, data binary, ts timestamp"
 
 
+ONE = "array<struct<seq:int,kind:string,name:string,value:string,data:binary>>"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Gathered(StatefulProcessor):
+    """The parts of one tx_id so far, in microseconds their first and newest time, and the watermark when a part last came.
+
+    A transaction's timer stands at its newest time. Without any time it stands ``late`` after the newest time of
+    all parts when its last part came (the watermark then and twice ``late``), and is set anew if no time was known then.
+    """
+
+    def __init__(self, late_ms: int):
+        self.late_ms = late_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("gathered", f"parts {ONE}, first bigint, newest bigint, seen bigint, timer bigint")
+
+    def _due(self, newest: int | None, seen: int) -> int:
+        return seen + self.late_ms if newest is None else -(-newest // 1000)
+
+    def _until(self, due: int, timer: int | None) -> int:
+        if timer != due:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        return due
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        old = self.state.get()
+        parts, first, newest, seen, timer = ([], None, None, 0, None) if old is None else ([_part(p) for p in old[0]], *old[1:])
+        known, n, seen = dict.fromkeys(parts), len(parts), max(seen, timerValues.getCurrentWatermarkInMs())
+        for r in rows:
+            known.setdefault(_part((r.seq, r.kind, r.name, r.value, r.data)))
+            if r.us is not None:
+                first, newest = (r.us, r.us) if newest is None else (min(first, r.us), max(newest, r.us))
+        parts = list(known)
+        self.state.update((parts, first, newest, seen, self._until(self._due(newest, seen), timer)))
+        if len(parts) > n and any(p[1] == "end" for p in parts):
+            yield Row(tx_id=key[0], parts=parts, us=first)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        parts, first, newest, seen, _ = self.state.get()
+        if newest is None and seen == 0:
+            seen = timerValues.getCurrentWatermarkInMs()
+            due = self._due(newest, seen)
+            self.handle.registerTimer(due)
+            self.state.update(([_part(p) for p in parts], first, newest, seen, due))
+        else:
+            self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _part(p) -> tuple:
+    return p[0], p[1], p[2], p[3], None if p[4] is None else bytes(p[4])
+
+
+def _gathered(parts: DataFrame, late: str) -> DataFrame:
+    """(tx_id, parts, ts, ended) of a stream, again whenever an ended transaction gets new parts."""
+    spark = parts.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the only store with timers
+    late_ms = spark.range(1).select(F.unix_millis(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {late}"))).first()[0]
+    timed = parts.withWatermark("ts", late).select("tx_id", "seq", "kind", "name", "value", "data", F.unix_micros("ts").alias("us"), "ts")
+    got = timed.groupBy("tx_id").transformWithState(Gathered(late_ms), f"tx_id bigint, parts {ONE}, us bigint", "Update", "EventTime")
+    return got.select("tx_id", F.sort_array("parts").alias("parts"), F.timestamp_micros("us").alias("ts"), F.lit(True).alias("ended"))
+
+
 def assemble(parts: DataFrame, late: str = "1 hour") -> DataFrame:
     """One row for each transaction whose ``end`` part has come: its parts joined in the order of seq.
 
-    The parts of a transaction meet by tx_id after being listed per task. Parts sent twice count once
+    The parts of a transaction meet by tx_id alone, whatever their times. Parts sent twice count once
     (equal tx_id, seq and kind); bodies without parts are null. In a stream, use output mode
-    ``update``; a transaction whose parts stop coming is forgotten ``late`` after the newest time.
+    ``update``: a transaction comes again when parts come after its ``end``. It is forgotten once the newest time of
+    all parts is ``late`` after its own newest; parts without time are kept, never late, and a transaction of
+    them alone is forgotten when that time has gone on by ``late`` since its last part. Parts whose time is more than ``late``
+    behind the newest of earlier batches are left out. The state store of the session becomes RocksDB, which timers need.
     """
-    keys = ["tx_id"]
+    parts = parts.where(F.col("tx_id").isNotNull())
     if parts.isStreaming:
-        hour = F.window("ts", late)
-        parts = parts.withWatermark("ts", late).withColumn("__w", hour)
-        keys = ["tx_id", "__w"]
-    one = F.struct("seq", "kind", "name", "value", "data")
-    got = parts.where(F.col("tx_id").isNotNull()).groupBy(*keys).agg(
-        F.sort_array(F.collect_set(one)).alias("parts"), F.min("ts").alias("ts"), F.bool_or(F.col("kind") == "end").alias("ended"))
+        got = _gathered(parts, late)
+    else:
+        one = F.struct("seq", "kind", "name", "value", "data")
+        got = parts.groupBy("tx_id").agg(F.sort_array(F.collect_set(one)).alias("parts"), F.min("ts").alias("ts"), F.bool_or(F.col("kind") == "end").alias("ended"))
 
     def of(kind: str) -> Column:
         return F.filter("parts", lambda p: p["kind"] == kind)

@@ -57,6 +57,50 @@ def test_parts_round_trip(spark, tmp_path):
     assert sorted(map(str, spark.table("assembled").select(*cols).collect())) == want
 
 
+def parts_stream(spark, tmp_path, name, batches):
+    """What the stream gives, by batch, of lists of parts; each list is a batch."""
+    src, got = str(tmp_path / name), []
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, assemble.PART).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(assemble.PART).parquet(src)
+        q = assemble.assemble(stream).writeStream.foreachBatch(lambda df, _: got.append(df.collect())).option("checkpointLocation", src + "-cp").outputMode("update").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert q.exception() is None
+    return got
+
+
+def at(*clock):
+    import datetime as dt
+
+    return None if clock == (None,) else dt.datetime(2024, 1, 1, *clock)
+
+
+def whole(tx, *times):
+    """A transaction of five parts with a time each."""
+    parts = [("uri", "POST", "/x", b"HTTP/1.1"), ("request_header", "A", "1", None), ("request_body", None, None, b"ab"), ("request_body", None, None, b"cd"), ("end", None, None, None)]
+    return [(tx, i, *p, t) for i, (p, t) in enumerate(zip(parts, times, strict=True))]
+
+
+def test_stream_across_hours_and_without_time(spark, tmp_path):
+    across = whole(1, at(9, 58), at(9, 59), at(10, 0), at(10, 1), at(10, 2))
+    none, mixed = whole(2, *[at(None)] * 5), whole(3, at(None), at(9, 59), at(None), at(10, 1), at(None))
+    every = across + none + mixed
+    want = sorted(map(str, assemble.assemble(spark.createDataFrame(every, assemble.PART)).collect()))
+    assert len(want) == 3
+    flat = lambda got: sorted(str(r) for b in got for r in b)
+    assert flat(parts_stream(spark, tmp_path, "one", [every + every[:4]])) == want
+    halves = [[p for p in every if p[1] < 2], [p for p in every if p[1] >= 2 or p[0] == 2], every[-3:]]  # the last: sent again
+    assert flat(parts_stream(spark, tmp_path, "two", halves)) == want
+
+
+def test_stream_forgets(spark, tmp_path):
+    timed, none, other = whole(1, *[at(9, 0)] * 4, at(12, 0)), whole(2, *[at(None)] * 5), lambda tx, t: whole(tx, *[t] * 5)
+    soon = parts_stream(spark, tmp_path, "soon", [none[:4] + timed[:4] + other(3, at(9, 0)), other(4, at(9, 59)), none[4:] + whole(1, *[at(9, 59)] * 5)[4:]])
+    assert [sorted((r.tx_id, bytes(r.request_body)) for r in b) for b in soon if b] == [[(3, b"abcd")], [(4, b"abcd")], [(1, b"abcd"), (2, b"abcd")]]
+    late = parts_stream(spark, tmp_path, "late", [none[:4] + timed[:4] + other(3, at(9, 0)), other(4, at(12, 0)), none[4:] + timed[4:]])
+    assert sorted((r.tx_id, r.uri) for b in late for r in b) == [(1, None), (2, None), (3, "/x"), (4, "/x")]
+
+
 def test_command_line(spark, tmp_path, capsys):
     path = str(tmp_path / "r.conf")
     open(path, "w").write(RULES)
