@@ -95,6 +95,25 @@ _transformation("sqlHexDecode", "'AB ' || replace(v, '0x', 'ox')", given=lambda
 _transformation("htmlEntityDecode", "'<''&é' || translate(v, '\\%&', '///')", given=lambda v: F.concat(F.lit("&lt;&#39;&amp;&#xe9;"), _safe(v)))
 
 
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """Query strings, argument values and bodies of all rows as they are stored: (tx_id, field, pos, v)."""
+    text = lambda field, pos, v: F.struct(F.lit(field).alias("field"), pos.cast("int").alias("pos"), v.alias("v"))
+    all_ = F.concat(
+        F.array(text("query_string", F.lit(0), F.col("query_string"))),
+        F.coalesce(F.transform("args_get", lambda a, i: text("args_get", i, a["value"])), F.expr("array()")),
+        F.array(text("request_body", F.lit(0), F.make_valid_utf8(F.col("request_body").cast("string")))))
+    return _tx(spark, d).select("tx_id", F.explode(all_).alias("t")).select("tx_id", "t.*")
+
+
+def _stored_transformation(name: str) -> None:
+    """A decoder over the stored texts, which SQL can't state."""
+    _add(f"t_{name}_stored", lambda s, d: _stored(s, d).select("tx_id", "field", "pos", apply_transformations(F.col("v"), (name,)).alias("out")))
+
+
+for _name in ("urlDecodeUni", "jsDecode", "cssDecode", "escapeSeqDecode", "sqlHexDecode", "htmlEntityDecode"):
+    _stored_transformation(_name)
+
+
 # Operators
 
 def _operator(label: str, text: str | Callable[[], str], sql: str | None, column: str = "uri") -> None:
