@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.requests import PAIRS
@@ -119,6 +120,20 @@ def assemble(parts: DataFrame, late: str = "1 hour") -> DataFrame:
         pairs("response_header").alias("response_headers"), body("response_body").alias("response_body"))
 
 
+def write_assembled(assembled: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes a stream of ``assemble`` to Parquet, a folder for each batch, and ends after what is there. A repeated batch replaces its folder."""
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return assembled.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+
+
+def read_assembled(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_assembled`` wrote: of each transaction the row of its last batch."""
+    df = spark.read.parquet(path)
+    return df.groupBy("tx_id").agg(F.max_by(F.struct(*[c for c in df.columns if c not in ("tx_id", "batch")]), "batch").alias("last")).select("tx_id", "last.*")
+
+
 def to_parts(tx: DataFrame, chunk: int = 16) -> DataFrame:
     """The parts of whole transactions, bodies in pieces of ``chunk`` bytes. Inverse of ``assemble``."""
     text = lambda v: F.lit(None).cast("string") if v is None else v

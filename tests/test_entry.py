@@ -48,3 +48,21 @@ def test_against_sql(spark, name):
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({entry.oracle_sql()[name]})").fetchall()
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, got.select(*cols).collect())) == sorted(map(key, want))
+
+
+@needs_data
+def test_assembly_streams_all_rows(spark, monkeypatch):
+    import duckdb
+
+    from sluice.plans import rule_queries
+
+    seen, cut, put = {}, rule_queries.assemble.to_parts, rule_queries.assemble.assemble
+    monkeypatch.setattr(rule_queries.assemble, "to_parts", lambda tx: seen.update(rows=tx.count()) or cut(tx))
+    monkeypatch.setattr(rule_queries.assemble, "assemble", lambda parts: seen.update(streaming=parts.isStreaming) or put(parts))
+    got = entry.queries()["stream_assemble"](spark, SMALL)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW http_transactions AS SELECT * FROM '{SMALL}/http_transactions.parquet'")
+    cols = ", ".join(got.columns)
+    want = con.execute(f"SELECT {cols} FROM ({entry.oracle_sql()['stream_assemble']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert seen == {"rows": con.execute("SELECT count(*) FROM http_transactions").fetchone()[0], "streaming": True}
