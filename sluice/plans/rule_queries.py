@@ -106,11 +106,11 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stored_transformation(name: str) -> None:
-    """A decoder over the stored texts, which SQL can't state."""
+    """A decoder over the stored texts, without SQL."""
     _add(f"t_{name}_stored", lambda s, d: _stored(s, d).select("tx_id", "field", "pos", apply_transformations(F.col("v"), (name,)).alias("out")))
 
 
-for _name in ("urlDecodeUni", "jsDecode", "cssDecode", "escapeSeqDecode", "sqlHexDecode", "htmlEntityDecode"):
+for _name in ("urlDecodeUni", "jsDecode", "cssDecode", "escapeSeqDecode", "sqlHexDecode", "htmlEntityDecode", "base64Decode", "base64DecodeExt", "hexDecode"):
     _stored_transformation(_name)
 
 

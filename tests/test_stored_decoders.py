@@ -117,6 +117,35 @@ def html(t):
     return out
 
 
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def sixes(t, alphabet):
+    """The bytes of padded base64 without stray last bits, or None."""
+    bare = t.rstrip("=")
+    pad = len(t) - len(bare)
+    if len(t) % 4 or pad > 2 or not set(bare) <= set(alphabet):
+        return None
+    bits = "".join(f"{alphabet.index(c):06b}" for c in bare)
+    whole = len(bits) // 8 * 8
+    return None if "1" in bits[whole:] else bytes(int(bits[k : k + 8], 2) for k in range(0, whole, 8))
+
+
+def base64(t):
+    got = sixes(t, ALPHABET)
+    return t if got is None else got.decode(errors="replace")
+
+
+def base64_ext(t):
+    got = sixes(t, ALPHABET[:-2] + "-_")
+    return base64(t) if got is None else got.decode(errors="replace")
+
+
+def hexes(t):
+    got = [number(t[k : k + 2], 256) if len(t) % 2 == 0 else None for k in range(0, len(t), 2)]
+    return t if None in got else bytes(got).decode(errors="replace")
+
+
 BRUTE = {"urlDecodeUni": url_uni, "jsDecode": js, "escapeSeqDecode": escape_seq, "cssDecode": css, "sqlHexDecode": sql_hex, "htmlEntityDecode": html}
 PIECES = ["\\", "\\x", "\\u", "\\u00e9", "\\x41", "\\n", "\\0", '\\"', "\\3c ", "\\000062", "\\110000", "\\ud800", "%", "%u", "%U0041", "%41", "%C3%A9", "%zz", "%+f", "%ud800", "0x", "0x41", "0X4", "&", "&lt;", "&#39;",
           "&#xe9;", "&#X3C;", "&#xD800;", "&bogus;", "&amp", ";", "#", "+", " ", "\n", "\t", "4", "a", "F", "g", "é", "😀", '"', "'", "=", "q=1"]
@@ -143,3 +172,20 @@ def test_stored_texts(spark, stored, name):
     want = Counter((tx, field, pos, None if v is None else BRUTE[name](v)) for tx, field, pos, v in texts)
     assert got == want
     assert sum(v is not None and BRUTE[name](v) != v for *_, v in texts) > 50
+
+
+BRUTE_WHOLE = {"base64Decode": base64, "base64DecodeExt": base64_ext, "hexDecode": hexes}
+WHOLE = ["aGVsbG8=", "aGVsbG8", "aGVsbG9=", "aGVs bG8=", "_w==", "/w==", "-/==", "-_-_", "+/+/", "a-_b", "aa==", "ag==", "=", "====", "a===", "ab=c", "QUJD", "4142", "+f4a", "4+f4", "414", "zz", "FFfe", "c3a9", "++", "é", "", "aGVsbG8=\n"]
+
+
+@pytest.mark.parametrize("name", BRUTE_WHOLE)
+def test_stored_texts_decoded_whole(spark, tmp_path, name):
+    r = random.Random(4)
+    texts = WHOLE + ["".join(r.choice("Aag4Q+/-_=fF") for _ in range(r.randrange(9))) for _ in range(2000)]
+    rows = [(i, t, [("a", t)], bytearray(t.encode())) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "tx_id long, query_string string, args_get array<struct<name string, value string>>, request_body binary").write.parquet(str(tmp_path / "http_transactions.parquet"))
+    got = [(r.field, r.tx_id, r.out) for r in QUERIES[f"t_{name}_stored"](spark, str(tmp_path)).collect()]
+    wrong = [(texts[i], out, BRUTE_WHOLE[name](texts[i])) for _, i, out in got if out != BRUTE_WHOLE[name](texts[i])]
+    assert not wrong and len(got) == 3 * len(texts)
+    assert sum(BRUTE_WHOLE[name](t) != t for t in texts) > 20
+    assert any(base64(t) != base64_ext(t) for t in texts)
