@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import iceberg, malformed, packed, skew
 from ..sources import table
+from ..sources.tables import cut
 
 #: The packed query arguments and headers.
 PACKED_ARGUMENTS = ["fields", "tags", "scope", "ids"]
@@ -85,6 +86,8 @@ def p3_frequent(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """One row per value of every packed argument and header."""
     lists = packed.packed_fields(table(spark, d, "http_transactions"), PACKED_ARGUMENTS, PACKED_HEADERS)
+    # A resent request's lists meet here, so that values need no exchange of their own; both passes read this instead of the whole requests.
+    lists = cut(lists.groupBy("tx_id", "field", "name").agg(F.collect_set("packed").alias("all")).select("tx_id", "field", "name", F.explode("all").alias("packed")))
     return packed.split_packed(lists, "packed").distinct()
 
 
