@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import warnings
+from re import _constants as sre
+from re import _parser
 
 #: ASCII classes in brackets.
 CLASSES = {
@@ -124,3 +127,129 @@ def compiles(java: str) -> bool:
     except IllegalArgumentException:  # what PatternSyntaxException comes as
         return False
     return True
+
+
+#: Branches a trie may nest before it ends in a plain alternation, and texts of which an alternation is not divided.
+_DEEP, _FEW = 100, 4
+
+
+def _quoted(text: str) -> str:
+    return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E" if text else ""
+
+
+def any_of(texts, flags: str = "(?i)") -> str:
+    """A pattern of the JVM for texts that hold one of ``texts``, whose ASCII case ``flags`` must ignore.
+
+    It is a trie: at each position a text is compared by halves of the possible next characters, so the
+    time hardly grows with the number of texts. What begins with another one is not needed.
+    """
+    root: dict = {}
+    for t in sorted(set(x.translate(_FOLD) for x in texts), key=len):
+        node = root
+        for c in t:
+            if "" in node:
+                break
+            node = node.setdefault(c, {})
+        else:
+            node.clear()
+            node[""] = {}
+    return flags + _branches(root, 0)
+
+
+_FOLD = {c: c + 32 for c in range(65, 91)}
+
+
+def _rest(node: dict) -> list[str]:
+    """All texts below a node."""
+    out, todo = [], [("", node)]
+    while todo:
+        t, n = todo.pop()
+        out += [t] if "" in n else []
+        todo += [(t + c, x) for c, x in n.items() if c]
+    return out
+
+
+def _branches(node: dict, deep: int) -> str:
+    head = ""
+    while len(node) == 1 and "" not in node:
+        (c, node), = node.items()
+        head += c
+    if "" in node:
+        return _quoted(head)
+    if deep >= _DEEP:
+        return _quoted(head) + "(?:" + "|".join(map(_quoted, _rest(node))) + ")"
+    return _quoted(head) + _halves(sorted(node.items()), deep)
+
+
+def _halves(pairs: list[tuple[str, dict]], deep: int) -> str:
+    if len(pairs) <= _FEW:
+        return "(?:" + "|".join(_branches({c: n}, deep + 1) for c, n in pairs) + ")"
+    parts = [pairs[: len(pairs) // 2], pairs[len(pairs) // 2 :]]
+    return "(?:" + "|".join(f"(?=[{''.join(rf'\x{{{ord(c):X}}}' for c, _ in p)}]){_halves(p, deep)}" for p in parts) + ")"
+
+
+#: Shortest text that narrows a search, and most texts of one pattern.
+_SHORT, _MANY = 3, 60
+
+
+def needed(pattern: str) -> frozenset[str] | None:
+    """Texts one of which every match of a pattern of the dialect holds, case aside; None if none are known.
+
+    Only patterns that Python reads as the dialect does are looked at: classes within classes and their
+    operators, and escapes of other forms, are not.
+    """
+    if re.search(r"\[[^\]]*\[|&&|~~|--|\\[pPxuUQEzCkKGRXN0-9]|\\[^\x00-\x7F]|\(\?(?:[a-zA-Z-]*[xUuR]|<|P=|P>|#|\(|[=!>|])|\{,", pattern):
+        return None
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            got = _needed(_parser.parse(pattern))
+    except (re.error, Warning, RecursionError, OverflowError):
+        return None
+    return got if got and len(got) <= _MANY and min(map(len, got)) >= _SHORT else None
+
+
+def _better(a: frozenset[str] | None, b: frozenset[str] | None) -> frozenset[str] | None:
+    rank = lambda s: (min(map(len, s)), -len(s)) if s else (0, 0)
+    return a if rank(a) >= rank(b) else b
+
+
+def _exact(op, arg) -> frozenset[str] | None:
+    """All texts a part matches, if they are few."""
+    if op is sre.LITERAL:
+        return frozenset([chr(arg)])
+    if op is sre.SUBPATTERN:
+        return _product(arg[3])
+    if op is sre.BRANCH:
+        sides = [_product(x) for x in arg[1]]
+        return frozenset().union(*sides) if None not in sides and sum(map(len, sides)) <= _MANY else None
+    return None
+
+
+def _product(parts) -> frozenset[str] | None:
+    out = frozenset([""])
+    for op, arg in parts:
+        got = _exact(op, arg)
+        if got is None or len(out) * len(got) > _MANY:
+            return None
+        out = frozenset(a + b for a in out for b in got)
+    return out
+
+
+def _needed(parts) -> frozenset[str] | None:
+    best, run = None, frozenset([""])
+    for op, arg in parts:
+        got = _exact(op, arg)
+        if got is not None and len(run) * len(got) <= _MANY:
+            run = frozenset(a + b for a in run for b in got)
+            continue
+        best, run = _better(best, run), got or frozenset([""])
+        if op is sre.SUBPATTERN:
+            best = _better(best, _needed(arg[3]))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1:
+            best = _better(best, _needed(arg[2]))
+        elif op is sre.BRANCH:
+            sides = [_needed(x) for x in arg[1]]
+            if all(sides):
+                best = _better(best, frozenset().union(*sides))
+    return _better(best, run)

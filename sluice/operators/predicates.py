@@ -7,7 +7,9 @@ also have ``many``, which gives the flags of an array of texts outside of lambda
 from __future__ import annotations
 
 import ipaddress
+import json
 import os
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -15,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.regex import BadPattern, compiles, to_java
+from ..functions.regex import BadPattern, any_of, compiles, needed, to_java
 from ..seclang.ast import Operator
 from ..seclang.errors import InvalidArgument, RuleFileError, UnknownOperator
 from ..seclang.parser import I64, U8, whole
@@ -29,13 +31,17 @@ PHRASE_PLACES = ("", "test-rules/crs/rules/", "rules/")
 
 @dataclass(frozen=True)
 class Predicate:
-    """Never null for texts that aren't. ``constant`` is set where every text gets the same answer."""
+    """Never null for texts that aren't. ``constant`` is set where every text gets the same answer.
+
+    ``needs`` are texts one of which any text that satisfies the predicate holds, case aside, if such are known.
+    """
 
     test: Callable[[Column], Column] | None = None
     many: Callable[[Column], Column] | None = None
     single: Callable[[Column], Column] | None = None
     python: Callable[[str], bool] | None = None
     constant: bool | None = None
+    needs: frozenset[str] | None = None
 
 
 def _always(value: bool) -> Predicate:
@@ -66,7 +72,7 @@ def _rx(arg: str) -> Predicate:
         java = to_java(arg)
     except BadPattern:
         return _always(False)
-    return Predicate(lambda v: _sure(v.rlike(java))) if compiles(java) else _always(False)
+    return Predicate(lambda v: _sure(v.rlike(java)), needs=needed(arg)) if compiles(java) else _always(False)
 
 
 def rx_groups(v: Column, pattern: str) -> Column:
@@ -88,8 +94,12 @@ def rx_groups(v: Column, pattern: str) -> Column:
 def _phrases(phrases: list[str]) -> Predicate:
     if not phrases:
         raise InvalidArgument("pm: no phrases")
-    pattern = "(?i)(?:" + "|".join(r"\Q" + p.replace(r"\E", r"\E\\E\Q") + r"\E" for p in phrases) + ")"
-    return Predicate(lambda v: _sure(v.rlike(pattern)))
+    pattern = any_of(phrases)
+    return Predicate(lambda v: _sure(v.rlike(pattern)), needs=frozenset(phrases))
+
+
+def _literal(test: Callable[[Column], Column], texts: list[str]) -> Predicate:
+    return Predicate(test, needs=frozenset(texts) if all(texts) else None)
 
 
 def _compare(arg: str, by: Callable[[Column, int], Column]) -> Predicate:
@@ -128,24 +138,41 @@ def ipv4(v: Column) -> Column:
     return F.when(v.rlike(rf"\A{octet}(?:\.{octet}){{3}}\z"), ((part(0) * 256 + part(1)) * 256 + part(2)) * 256 + part(3))
 
 
-def _ip(items: list[str]) -> Predicate:
-    nets = list(ipaddress.collapse_addresses(n for n in _networks(items) if n.version == 4))
-    six = [n for n in _networks(items) if n.version == 6]
-    ranges = [(int(n.network_address), int(n.broadcast_address)) for n in nets]
+#: Ranges that are compared one after another; more are searched by halves.
+FEW_RANGES = 8
+
 
-    def four(v: Column) -> Column:
-        hit = lambda a: reduce(lambda x, r: x | a.between(*r), ranges, F.lit(False))
-        return _sure(F.exists(F.array(ipv4(v)), lambda a: _sure(hit(a))))
+def in_ranges(a: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a number lies in one of disjoint, sorted ranges; null for null. The plan holds two literal arrays, however many ranges there are."""
+    if len(ranges) <= FEW_RANGES:
+        return reduce(lambda x, r: x | a.between(*r), ranges, F.lit(False))
+    first, last = (F.from_json(F.lit(json.dumps([r[i] for r in ranges])), "array<bigint>") for i in (0, 1))
+    steps = F.array(*[F.lit(i) for i in range(len(ranges).bit_length())])
 
-    if not six:
-        return Predicate(four) if ranges else _always(False)
+    def half(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = F.get(first, mid) <= a
+        return F.struct(F.when(right & (s["lo"] < s["hi"]), mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(ranges)).alias("hi"))
+    return F.when(a.isNotNull(), F.aggregate(steps, start, half, lambda s: F.coalesce(F.get(last, s["lo"] - 1) >= a, F.lit(False))))
+
+
+def _ip(items: list[str]) -> Predicate:
+    nets = _networks(items)
+    # Ranges of each version, sorted and disjoint.
+    ranges = {v: [(int(n.network_address), int(n.broadcast_address)) for n in ipaddress.collapse_addresses(n for n in nets if n.version == v)] for v in (4, 6)}
+    if not ranges[6]:
+        return Predicate(lambda v: _sure(F.exists(F.array(ipv4(v)), lambda a: _sure(in_ranges(a, ranges[4]))))) if ranges[4] else _always(False)
+    starts = {v: [r[0] for r in own] for v, own in ranges.items()}
 
     def python(text: str) -> bool:
         try:
             a = ipaddress.ip_address(text)
         except ValueError:
             return False
-        return "%" not in text and any(a in n for n in [*nets, *six] if n.version == a.version)
+        at = bisect_right(starts[a.version], int(a)) - 1
+        return "%" not in text and at >= 0 and int(a) <= ranges[a.version][at][1]
 
     flags = {m: detectors._flags(python, m) for m in (False, True)}
     return Predicate(single=lambda v: flags[False](v), many=lambda vs: flags[True](vs), python=python)
@@ -165,9 +192,9 @@ _SQLI, _XSS = Predicate(lambda v: _sure(detectors.sqli_test(v)), python=detector
 
 _BUILD: dict[str, Callable[[str], Predicate]] = {
     "rx": _rx, "pm": lambda a: _phrases(a.split()), "pmfromfile": lambda a: _phrases(_lines(a, PHRASE_PLACES)),
-    "contains": lambda a: Predicate(lambda v: F.contains(v, F.lit(a))), "beginswith": lambda a: Predicate(lambda v: v.startswith(a)),
-    "endswith": lambda a: Predicate(lambda v: v.endswith(a)), "streq": lambda a: Predicate(lambda v: v == a),
-    "within": lambda a: Predicate(lambda v: v.isin(a.split())) if a.split() else _always(False),
+    "contains": lambda a: _literal(lambda v: F.contains(v, F.lit(a)), [a]), "beginswith": lambda a: _literal(lambda v: v.startswith(a), [a]),
+    "endswith": lambda a: _literal(lambda v: v.endswith(a), [a]), "streq": lambda a: _literal(lambda v: v == a, [a]),
+    "within": lambda a: _literal(lambda v: v.isin(a.split()), a.split()) if a.split() else _always(False),
     "eq": lambda a: _compare(a, lambda v, n: v == n), "gt": lambda a: _compare(a, lambda v, n: v > n), "lt": lambda a: _compare(a, lambda v, n: v < n),
     "ge": lambda a: _compare(a, lambda v, n: v >= n), "le": lambda a: _compare(a, lambda v, n: v <= n), "ne": _differs,
     "detectsqli": lambda a: _SQLI, "detectxss": lambda a: _XSS,
