@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -95,11 +96,12 @@ def remove_comment_marks(v: Column) -> Column:
 
 @dataclass(frozen=True)
 class Transformation:
-    """``native`` gives an expression; ``python`` a function of one text, for those that have none."""
+    """``native`` gives an expression; ``python`` a function of one text, for those that have none. Texts without ``sign`` stay as they are."""
 
     name: str
     native: Callable[[Column], Column] | None = None
     python: Callable[[str], str] | None = None
+    sign: str = ""
 
 
 _NATIVE: dict[str, Callable[[Column], Column]] = {
@@ -119,13 +121,13 @@ _NATIVE: dict[str, Callable[[Column], Column]] = {
     "hexDecode": hex_decode, "hexEncode": lambda v: F.lower(F.hex(v)),
     "md5": F.md5, "sha1": F.sha1, "sha256": lambda v: F.sha2(v, 256), "length": lambda v: F.octet_length(v).cast("string"),
 }
-_PYTHON: dict[str, Callable[[str], str]] = {
-    "urlDecodeUni": py.url_decode_uni, "jsDecode": py.js_decode, "cssDecode": py.css_decode, "escapeSeqDecode": py.escape_seq_decode,
-    "sqlHexDecode": py.sql_hex_decode, "htmlEntityDecode": py.html_entity_decode,
+_PYTHON: dict[str, tuple[Callable[[str], str], str]] = {
+    "urlDecodeUni": (py.url_decode_uni, "%"), "jsDecode": (py.js_decode, "\\"), "cssDecode": (py.css_decode, "\\"), "escapeSeqDecode": (py.escape_seq_decode, "\\"),
+    "sqlHexDecode": (py.sql_hex_decode, "0x"), "htmlEntityDecode": (py.html_entity_decode, "&"),
 }
 TRANSFORMATIONS = {
     **{n.lower(): Transformation(n, native=f) for n, f in _NATIVE.items()},
-    **{n.lower(): Transformation(n, python=f) for n, f in _PYTHON.items()},
+    **{n.lower(): Transformation(n, python=f, sign=sign) for n, (f, sign) in _PYTHON.items()},
 }
 
 
@@ -167,14 +169,17 @@ def _mapped(functions: list[Callable[[str], str]], many: bool):
 
 
 def apply_transformations(v: Column, names: tuple[str, ...], many: bool = False) -> Column:
-    """A text column (or, with ``many``, an array of texts) through a pipeline. Runs of Python ones are one Arrow call."""
+    """A text column (or, with ``many``, an array of texts) through a pipeline. Runs of Python ones are one Arrow call, which gets only what holds a sign of one."""
     at, steps = 0, [transformation(n) for n in names]
     while at < len(steps):
         run = at
         while run < len(steps) and steps[run].python:
             run += 1
         if run > at:
-            v, at = _mapped([s.python for s in steps[at:run]], many)(v), run
+            signs = {s.sign for s in steps[at:run]}
+            told = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(x)) for x in sorted(signs)])
+            send = v if "" in signs else F.when(F.exists(v, told) if many else told(v), v)
+            v, at = F.coalesce(_mapped([s.python for s in steps[at:run]], many)(send), v), run
         else:
             f = steps[at].native
             v, at = F.transform(v, f) if many else f(v), at + 1

@@ -5,6 +5,9 @@ rules that only match and stop reduce to the first stopping one; with flow contr
 chains the phase is an ordered fold over the rules that match or may matter unmatched, as an aggregate
 over their numbers. Rows never meet: no
 phase shuffles.
+
+Where many rules read the same texts, the texts a rule's operator needs are looked for first: one trie
+over those of all rules, then one for every few rules, and a rule itself is tried only where its own hit.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.regex import any_of
 from ..functions.requests import Request, scalar_selected, selected
 from ..functions.transformations import apply_transformations, native_only, transformation
 from ..operators.predicates import Predicate, integer, predicate
@@ -25,7 +29,9 @@ from ..seclang.ruleset import Rule, Ruleset, is_allow, is_terminal, outcome_stat
 #: TX variables of the scores, those loaded from TX first.
 SCORES = ["anomaly_score", "sql_injection_score", "xss_score", "rfi_score", "lfi_score", "rce_score", "php_injection_score", "session_fixation_score"]
 LOADED = SCORES[:3]
-STATE, STEPS, SOME, SHARED = "__state", "__steps", "__some", "__shared_"
+STATE, STEPS, SOME, SHARED, GUARD = "__state", "__steps", "__some", "__shared_", "__guard_"
+#: Rules from which texts get a guard, and rules of one of its parts.
+GUARDED, PART = 8, 16
 METADATA = "struct<id:string,msg:string,logdata:string,severity:int,tags:array<string>,maturity:int,accuracy:int,rev:string,ver:string>"
 INTERVENTION = f"struct<status:int,url:string,log:string,rule_ids:array<string>,phase:int,drop_connection:boolean,metadata:array<{METADATA}>>"
 _OPS = "array<struct<key:string,kind:string,text:string,n:bigint>>"
@@ -60,8 +66,8 @@ class Evaluator:
     @staticmethod
     def _share(df: DataFrame, request: Request, rules: list[Rule]) -> tuple[DataFrame, dict]:
         """``df`` with a column for every variable's transformed texts that several rules read or Python makes, and where they are."""
-        uses = Counter((v, r.transformations) for r in rules for v in dict.fromkeys(r.variables) if r.transformations and v.name != "TX" and (v.name in COLLECTIONS or scalar_selected(v)))
-        wanted = [k for k, n in uses.items() if n > 1 or not native_only(k[1])]
+        uses = Counter((v, r.transformations) for r in rules for v in dict.fromkeys(r.variables) if v.name != "TX" and (v.name in COLLECTIONS or scalar_selected(v)))
+        wanted = [k for k, n in uses.items() if k[1] and (n > 1 or not native_only(k[1])) or not k[1] and n >= GUARDED and k[0].name in COLLECTIONS]
         columns = {}
         for i, (v, names) in enumerate(wanted):
             if v.name in SCALARS:
@@ -71,10 +77,43 @@ class Evaluator:
         return df.withColumns(columns) if columns else df, {k: F.col(f"{SHARED}{i}") for i, k in enumerate(wanted)}
 
     @staticmethod
-    def _match(request: Request, rule: Rule, shared: dict, flags: dict) -> tuple[Column, Column | None]:
+    def _guard(df: DataFrame, request: Request, rules: list[Rule], shared: dict) -> tuple[DataFrame, dict[tuple, Column], dict[int, list[str]]]:
+        """``df`` with a column for all texts that many rules read: for each few rules whether a text holds what one of them needs; null where none does.
+
+        Also the flag of every (rule, variable) that has one, and for rules that only texts with a guard can satisfy its columns.
+        """
+        readers: dict[tuple, list[int]] = {}
+        for i, r in enumerate(rules):
+            if predicate(r.operator).needs and not r.operator.negated:
+                for v in dict.fromkeys(r.variables):
+                    if v.name in COLLECTIONS and v.name != "TX" or v.name in SCALARS and scalar_selected(v):
+                        readers.setdefault((v, r.transformations), []).append(i)
+        columns, flags, where = {}, {}, {}
+        for (v, names), own in readers.items():
+            if len(own) < GUARDED:
+                continue
+            texts = shared.get((v, names))
+            if texts is None and v.name in SCALARS:
+                texts = apply_transformations(request.scalar(v.name), names)
+            # Unicode case, as patterns may ignore it.
+            holds = lambda some, texts=texts, v=v: (
+                texts.rlike(any_of(some, "(?iu)")) if v.name in SCALARS else F.exists(texts, lambda t: t.rlike(any_of(some, "(?iu)"))))
+            needs = [predicate(rules[i].operator).needs for i in own]
+            parts = [frozenset().union(*needs[k : k + PART]) for k in range(0, len(own), PART)]
+            name = f"{GUARD}{len(columns)}"
+            columns[name] = F.when(holds(frozenset().union(*needs)), F.array(*map(holds, parts)))
+            for k, i in enumerate(own):
+                flags[i, v] = F.coalesce(F.get(F.col(name), F.lit(k // PART)), F.lit(False))
+                where.setdefault(i, []).append(name)
+        least = {i: names for i, names in where.items() if len(names) == len(set(rules[i].variables))}
+        return df.withColumns(columns) if columns else df, flags, least
+
+    @staticmethod
+    def _match(request: Request, rule: Rule, shared: dict, flags: dict, guards: dict) -> tuple[Column, Column | None]:
         """Whether any value outside TX satisfies the rule, and whether there is a value (None: always).
 
-        ``shared`` has transformed texts, ``flags`` what Python said of them for earlier rules of the phase.
+        ``shared`` has transformed texts, ``flags`` what Python said of them for earlier rules of the phase,
+        ``guards`` by variable whether its texts hold what the rule needs.
         """
         p, neg, names = predicate(rule.operator), rule.operator.negated, rule.transformations
         sign = lambda hit: ~hit if neg else hit
@@ -84,6 +123,7 @@ class Evaluator:
         for v in rule.variables:
             ready = shared.get((v, names))
             asked = (v, names, rule.operator.name, rule.operator.argument)
+            narrow = lambda hit, v=v: F.when(guards[v], hit).otherwise(F.lit(False)) if v in guards else hit
             if v.name in SCALARS:
                 if not scalar_selected(v):
                     continue
@@ -94,7 +134,7 @@ class Evaluator:
                 text = apply_transformations(request.scalar(v.name), names) if ready is None else ready
                 if not p.test and asked not in flags:
                     flags[asked] = p.single(text)
-                hits.append(sign(p.test(text) if p.test else flags[asked]))
+                hits.append(narrow(sign(p.test(text) if p.test else flags[asked])))
             elif v.name in COLLECTIONS and v.name != "TX":
                 pairs = selected(request.collection(v.name), v)
                 some.append(F.size(pairs) > 0)
@@ -108,7 +148,7 @@ class Evaluator:
                         texts = apply_transformations(F.transform(pairs, lambda x: x["value"]), names, many=True)
                     if not p.test and asked not in flags:
                         flags[asked] = p.many(texts)
-                    hits.append(F.exists(texts, lambda t: sign(p.test(t))) if p.test else F.exists(flags[asked], sign))
+                    hits.append(narrow(F.exists(texts, lambda t: sign(p.test(t))) if p.test else F.exists(flags[asked], sign)))
         return _or(hits), None if always else _or(some)
 
     def _tx_match(self, rule: Rule, tx: Column) -> tuple[Column, Column]:
@@ -170,10 +210,11 @@ class Evaluator:
         tx_rules = {i: r for i, r in enumerate(rules) if any(v.name == "TX" for v in r.variables)}
         chained = any(r.is_chain and self._jump(r, phase, i, len(rules)) != i + 1 for i, r in enumerate(rules))
         df, shared = self._share(df, request, rules)
+        df, guards, narrow = self._guard(df, request, rules, shared)
         flags: dict = {}
-        steps, filled = [], {}
+        steps, late, filled = [], [], {}
         for i, r in enumerate(rules):
-            hit, some = self._match(request, r, shared, flags)
+            hit, some = self._match(request, r, shared, flags, {v: c for (k, v), c in guards.items() if k == i})
             if i in tx_rules:
                 filled[i] = F.lit(True) if some is None else some
             elif some is not None and r.operator.negated and r.variables:
@@ -181,14 +222,22 @@ class Evaluator:
             # A rule that misses is a step only where a miss can matter: in a chain, or if TX may make it match.
             stays = i in tx_rules or chained or (i > 0 and rules[i - 1].is_chain)
             step = F.when(F.coalesce(hit, F.lit(False)), F.lit(2 * i + 1))
-            steps.append(step.otherwise(F.lit(2 * i)) if stays else step)
-        df = df.withColumn(STEPS, F.array_compact(F.array(*steps)))
+            if stays or i not in narrow:
+                steps.append(step.otherwise(F.lit(2 * i)) if stays else step)
+            else:
+                late.append(step)
+        all_steps = F.array_compact(F.array(*steps)) if steps else F.expr("cast(array() as array<int>)")
+        if late:  # nothing of them is looked at in rows without any guard's hit
+            open_ = _or([F.col(c).isNotNull() for c in dict.fromkeys(c for names in narrow.values() for c in names)])
+            more = F.when(open_, F.array_sort(F.concat(all_steps, F.array_compact(F.array(*late)))))
+            all_steps = F.coalesce(more, all_steps)
+        df = df.withColumn(STEPS, all_steps)
         if filled:
             df = df.withColumn(SOME, F.array(*[F.coalesce(c, F.lit(False)) for c in filled.values()]))
         going = invoked & (F.col(STATE)["stop"] < 0) & ~F.col(STATE)["allowed"]
         plain = not tx_rules and not any(r.flow or r.setvars for r in rules)
         after = self._plain(rules, base) if plain else self._fold(rules, phase, base, tx_rules, list(filled))
-        return df.withColumn(STATE, F.when(going, after).otherwise(F.col(STATE))).drop(STEPS, SOME, *[f"{SHARED}{i}" for i in range(len(shared))])
+        return df.withColumn(STATE, F.when(going, after).otherwise(F.col(STATE))).drop(STEPS, SOME, *[c for c in df.columns if c.startswith((SHARED, GUARD))])
 
     def _plain(self, rules: list[Rule], base: int) -> Column:
         """Rules that only match and stop: hits up to the first that stops. Every step is a match here."""
