@@ -22,6 +22,8 @@ from ..seclang.parser import COLLECTIONS, EMPTY, SCALARS, parse_operator, parse_
 from ..seclang.ruleset import Ruleset
 from ..sources import shared_dir, table
 from ..streaming import assemble, verdicts
+from . import decoder_sql as said
+from .decoder_sql import SPACE
 from .engine import Evaluator, expand_macros, format_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +31,6 @@ SQL: dict[str, str] = {}
 TX = "http_transactions"
 #: Argument values, the texts most queries read.
 VALUES_SQL = f"vals AS (SELECT tx_id, unnest(args_get).value AS v FROM {TX})"
-SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def _tx(spark: SparkSession, d: str) -> DataFrame:
@@ -82,17 +83,12 @@ _commented = lambda v: F.concat(F.lit("a/*"), v, F.lit("*/b/*c*/d/*"), v)  # noq
 _transformation("removeComments", _no_comments.format("'a/*' || v || '*/b/*c*/d/*' || v"), given=_commented)
 _transformation("replaceComments", r"regexp_replace(regexp_replace('a/*' || v || '*/b/*c*/d/*' || v, '(?s)/\*.*?\*/', ' ', 'g'), '(?s)/\*.*$', '')", given=_commented)
 _transformation("urlDecode", "url_decode(v)", "query_string")
-_transformation("base64Encode base64Decode", "v")
-_transformation("base64Encode base64DecodeExt", "v")
-_transformation("hexEncode hexDecode", "v")
 _transformation("lowercase removeWhitespace sha1", f"sha1(regexp_replace(lower(v), '{SPACE}+', '', 'g'))", label="pipeline")
-_safe = lambda v: F.translate(v, "\\%&", "///")
-_transformation("urlDecodeUni", "'AB é%zz' || translate(v, '\\%&', '///')", given=lambda v: F.concat(F.lit("%u0041%42 %e9%zz"), _safe(v)))
-_transformation("jsDecode", "'<A\">' || translate(v, '\\%&', '///')", given=lambda v: F.concat(F.lit("\\x3cA\\\"\\u003e"), _safe(v)))
-_transformation("cssDecode", "'<b' || translate(v, '\\%&', '///')", given=lambda v: F.concat(F.lit("\\3c \\000062 "), _safe(v)))
-_transformation("escapeSeqDecode", "'A<\\q' || translate(v, '\\%&', '///')", given=lambda v: F.concat(F.lit("\\x41\\u003c\\q"), _safe(v)))
-_transformation("sqlHexDecode", "'AB ' || replace(v, '0x', 'ox')", given=lambda v: F.concat(F.lit("0x4142 "), F.replace(v, F.lit("0x"), F.lit("ox"))))
-_transformation("htmlEntityDecode", "'<''&é' || translate(v, '\\%&', '///')", given=lambda v: F.concat(F.lit("&lt;&#39;&amp;&#xe9;"), _safe(v)))
+for _name, _said in said.DECODERS.items():
+    _transformation(_name, _said("v"))
+# What an encoder wrote comes back, whatever the text.
+for _names in ("base64Encode base64Decode", "base64Encode base64DecodeExt", "hexEncode hexDecode"):
+    _transformation(_names, "v", label=_names.split()[1] + "_inverse")
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
@@ -105,13 +101,19 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
     return _tx(spark, d).select("tx_id", F.explode(all_).alias("t")).select("tx_id", "t.*")
 
 
-def _stored_transformation(name: str) -> None:
-    """A decoder over the stored texts, without SQL."""
-    _add(f"t_{name}_stored", lambda s, d: _stored(s, d).select("tx_id", "field", "pos", apply_transformations(F.col("v"), (name,)).alias("out")))
+_STORED_SQL = (
+    f"stored AS (SELECT tx_id, 'query_string' AS field, 0 AS pos, query_string AS v FROM {TX} UNION ALL SELECT tx_id, 'args_get', p - 1, a.value FROM (SELECT tx_id, unnest(args_get) AS a, generate_subscripts(args_get, 1) AS p FROM {TX}) "
+    f"UNION ALL SELECT tx_id, 'request_body', 0, CASE WHEN request_body IS NOT NULL THEN {said.body('request_body')} END FROM {TX})")
 
 
-for _name in ("urlDecodeUni", "jsDecode", "cssDecode", "escapeSeqDecode", "sqlHexDecode", "htmlEntityDecode", "base64Decode", "base64DecodeExt", "hexDecode"):
-    _stored_transformation(_name)
+def _stored_transformation(name: str, sql: str) -> None:
+    """A decoder over the stored texts."""
+    _add(f"t_{name}_stored", lambda s, d: _stored(s, d).select("tx_id", "field", "pos", apply_transformations(F.col("v"), (name,)).alias("out")),
+         f"WITH {_STORED_SQL} SELECT tx_id, field, CAST(pos AS INTEGER) AS pos, {sql} AS out FROM stored")
+
+
+for _name, _said in said.DECODERS.items():
+    _stored_transformation(_name, _said("v"))
 
 
 # Operators
@@ -206,18 +208,26 @@ for _name, _sql in {
     "RESPONSE_CONTENT_TYPE": "coalesce(list_filter(response_headers, lambda h: lower(h.name) = 'content-type')[-1].value, '')",
 }.items():
     _variable(_name, _name, _scalar_sql(_name, _sql))
-for _name in ("REQUEST_BODY", "RESPONSE_BODY", "ARGS_POST"):  # texts with bytes that are no UTF-8
-    _variable(_name, _name, None)
+_seen_sql = "CASE WHEN has_request_body_phase AND request_body IS NOT NULL THEN {} ELSE '' END".format(said.body("request_body"))
+_variable("REQUEST_BODY", "REQUEST_BODY", _scalar_sql("REQUEST_BODY", _seen_sql))
+_variable("RESPONSE_BODY", "RESPONSE_BODY", _scalar_sql("RESPONSE_BODY", f"CASE WHEN response_body IS NOT NULL THEN {said.body('response_body')} ELSE '' END"))
+_form_sql = (
+    f"SELECT tx_id, {said.percent('split_part(p, chr(61), 1)')} AS name, {said.percent('substr(p, instr(p, chr(61)) + 1)')} AS value "
+    f"FROM (SELECT tx_id, unnest(string_split({_seen_sql}, '&')) AS p FROM {TX}) WHERE contains(p, '=')")
+_post_sql = lambda name: f"SELECT tx_id, '{name}:' || name AS full_name, value FROM ({_form_sql})"
+_variable("ARGS_POST", "ARGS_POST", _post_sql("ARGS_POST"))
+_variable("ARGS_phase1", "ARGS", _args_sql, phase=1)
+_args_sql = f"{_args_sql} UNION ALL {_post_sql('ARGS')}"
 _variable("ARGS_GET", "ARGS_GET", _pairs_sql("ARGS_GET", "args_get"))
-_variable("ARGS", "ARGS", _args_sql, phase=1)
+_variable("ARGS", "ARGS", _args_sql)
 _variable("REQUEST_HEADERS", "REQUEST_HEADERS", _pairs_sql("REQUEST_HEADERS", "request_headers", "lower(name)"))
 _variable("RESPONSE_HEADERS", "RESPONSE_HEADERS", _pairs_sql("RESPONSE_HEADERS", "response_headers", "lower(name)"))
 _variable("REQUEST_COOKIES", "REQUEST_COOKIES", f"SELECT tx_id, '' AS full_name, '' AS value FROM {TX} WHERE false")
-_variable("key", "ARGS:q", f"SELECT * FROM ({_args_sql}) WHERE full_name = 'ARGS:q'", phase=1)
+_variable("key", "ARGS:q", f"SELECT * FROM ({_args_sql}) WHERE full_name = 'ARGS:q'")
 _variable("key_case", "REQUEST_HEADERS:User-Agent", f"SELECT tx_id, '' AS full_name, '' AS value FROM {TX} WHERE false")
-_variable("pattern", "ARGS:/^[qp]/", f"SELECT * FROM ({_args_sql}) WHERE starts_with(full_name, 'ARGS:q') OR starts_with(full_name, 'ARGS:p')", phase=1)
-_variable("exclusion", "ARGS|!ARGS:p", f"SELECT * FROM ({_args_sql}) WHERE NOT contains(full_name, 'ARGS:p')", phase=1)
-_variable("several", "REQUEST_METHOD|&ARGS:q", f"{_scalar_sql('REQUEST_METHOD', 'method')} UNION ALL SELECT * FROM ({_args_sql}) WHERE full_name = 'ARGS:q'", phase=1)
+_variable("pattern", "ARGS:/^[qp]/", f"SELECT * FROM ({_args_sql}) WHERE starts_with(full_name, 'ARGS:q') OR starts_with(full_name, 'ARGS:p')")
+_variable("exclusion", "ARGS|!ARGS:p", f"SELECT * FROM ({_args_sql}) WHERE NOT contains(full_name, 'ARGS:p')")
+_variable("several", "REQUEST_METHOD|&ARGS:q", f"{_scalar_sql('REQUEST_METHOD', 'method')} UNION ALL SELECT * FROM ({_args_sql}) WHERE full_name = 'ARGS:q'")
 _variable("observed", "REMOTE_ADDR|REMOTE_PORT|RESPONSE_STATUS|SERVER_NAME|SERVER_PORT", " UNION ALL ".join([
     _scalar_sql("REMOTE_ADDR", "coalesce(client_ip, '')"), _scalar_sql("REMOTE_PORT", "coalesce(CAST(client_port AS VARCHAR), '0')"),
     _scalar_sql("RESPONSE_STATUS", "coalesce(CAST(response_status AS VARCHAR), '0')"), _scalar_sql("SERVER_NAME", "coalesce(server_name, '')"),
@@ -290,7 +300,10 @@ _verdicts("sec_action", 'SecAction "id:7,phase:1,deny"\n' + RULE_A.format("pass"
 _verdicts("negation_without_values", 'SecRule FILES "!@rx x" "id:5,phase:1,pass"\nSecRule ARGS:q "!@rx [0-9]" "id:6,phase:1,pass"\n', _usual(
     "CASE WHEN len(list_filter(args_get, lambda a: a.name = 'q')) = 0 OR len(list_filter(args_get, lambda a: a.name = 'q' AND NOT regexp_matches(a.value, '[0-9]'))) > 0 THEN '5,6' ELSE '5' END"))
 _verdicts("phases", 'SecRule ARGS_POST:amount "@unconditionalMatch" "id:20,phase:2,pass"\nSecRule REQUEST_METHOD "@streq POST" "id:21,phase:2,deny"\n'
-          'SecRule RESPONSE_HEADERS:x-node "@beginsWith n1" "id:30,phase:3,pass"\nSecRule REQUEST_METHOD "@rx ." "id:50,phase:5,pass"\n', None)
+          'SecRule RESPONSE_HEADERS:x-node "@beginsWith n1" "id:30,phase:3,pass"\nSecRule REQUEST_METHOD "@rx ." "id:50,phase:5,pass"\n', _usual(
+              "concat_ws(',', CASE WHEN a THEN '20' END, CASE WHEN b THEN '21' END, CASE WHEN NOT b AND n > 0 THEN '30' END, CASE WHEN NOT b AND method <> '' THEN '50' END)", _case(("b", "403"), "0"),
+              source=f"(SELECT *, coalesce(has_request_body_phase AND method = 'POST', false) AS b, len(list_filter(response_headers, lambda h: lower(h.name) = 'x-node' AND starts_with(h.value, 'n1'))) AS n, "
+                     f"len(list_filter(list_filter(string_split({_seen_sql}, '&'), lambda p: contains(p, '=')), lambda p: {said.percent('split_part(p, chr(61), 1)')} = 'amount')) > 0 AS a FROM {TX})"))
 _verdicts("late_phases", 'SecRule REQUEST_METHOD "@streq POST" "id:21,phase:2,deny"\nSecRule RESPONSE_HEADERS:x-node "@beginsWith n1" "id:30,phase:3,pass"\n'
           'SecRule REQUEST_METHOD "@rx ." "id:50,phase:5,pass"\n', _usual(
               "concat_ws(',', CASE WHEN b THEN '21' END, CASE WHEN NOT b AND n > 0 THEN '30' END, CASE WHEN NOT b AND method <> '' THEN '50' END)", _case(("b", "403"), "0"),
