@@ -31,21 +31,29 @@ SQL_PATTERNS = [
     r"(?i)'\s*or\s*'", r"(?i)'\s*;\s*--", r"(?i)'\s*(and|or|xor)\s", r"(?i)\d\s+(or|and)\s+",
 ]
 #: Words of SQL.
-SQL_KEYWORDS = frozenset(
-    "SELECT INSERT UPDATE DELETE DROP TRUNCATE ALTER CREATE UNION FROM WHERE INTO VALUES SET TABLE DATABASE INDEX EXEC EXECUTE HAVING GROUP ORDER BY "
-    "LIMIT OFFSET JOIN LEFT RIGHT INNER OUTER CROSS NATURAL AS ON USING CASE WHEN THEN ELSE END IF WHILE DECLARE BEGIN COMMIT ROLLBACK GRANT REVOKE NULL "
-    "ALL DISTINCT EXISTS BETWEEN IN IS LIKE ESCAPE WAITFOR DELAY SHUTDOWN BENCHMARK SLEEP LOAD_FILE OUTFILE DUMPFILE INFORMATION_SCHEMA EXTRACTVALUE "
-    "UPDATEXML FLOOR RAND COUNT CONCAT CHAR ASCII SUBSTRING SUBSTR MID VERSION USER SCHEMA PASSWORD MD5 SHA1 SHA2 ENCODE DECODE HEX UNHEX CONV CONVERT CAST".split())
-SQL_FUNCTIONS = frozenset(
-    "CONCAT SUBSTR SUBSTRING MID LENGTH LEN CHAR ASCII ORD CONV HEX UNHEX BIN OCT MD5 SHA1 SHA2 ENCODE DECODE COMPRESS UNCOMPRESS AES_ENCRYPT AES_DECRYPT "
-    "PASSWORD ENCRYPT VERSION USER DATABASE SCHEMA CURRENT_USER SESSION_USER SYSTEM_USER NOW CURDATE CURTIME UTC_DATE UTC_TIME SLEEP BENCHMARK LOAD_FILE "
-    "EXTRACTVALUE UPDATEXML FLOOR RAND CEIL ROUND COUNT SUM AVG MIN MAX GROUP_CONCAT COALESCE NULLIF IFNULL NVL CASE IF IIF CONVERT CAST TRIM LTRIM RTRIM "
-    "UPPER LOWER UCASE LCASE REPLACE REVERSE INSERT INSTR LOCATE POSITION FIND_IN_SET FIELD ELT MAKE_SET EXPORT_SET REPEAT SPACE LPAD RPAD LEFT RIGHT QUOTE "
-    "SOUNDEX FORMAT".split())
+SQL_KEYWORDS = frozenset([
+    "SELECT", "INSERT", "UPDATE", "DELETE", "DROP", "TRUNCATE", "ALTER", "CREATE", "UNION", "FROM", "WHERE", "INTO", "VALUES", "SET", "TABLE",
+    "DATABASE", "INDEX", "EXEC", "EXECUTE", "HAVING", "GROUP", "ORDER", "BY", "LIMIT", "OFFSET", "JOIN", "LEFT", "RIGHT", "INNER", "OUTER", "CROSS",
+    "NATURAL", "AS", "ON", "USING", "CASE", "WHEN", "THEN", "ELSE", "END", "IF", "WHILE", "DECLARE", "BEGIN", "COMMIT", "ROLLBACK", "GRANT", "REVOKE",
+    "NULL", "ALL", "DISTINCT", "EXISTS", "BETWEEN", "IN", "IS", "LIKE", "ESCAPE", "WAITFOR", "DELAY", "SHUTDOWN", "BENCHMARK", "SLEEP", "LOAD_FILE",
+    "OUTFILE", "DUMPFILE", "INFORMATION_SCHEMA", "EXTRACTVALUE", "UPDATEXML", "FLOOR", "RAND", "COUNT", "CONCAT", "CHAR", "ASCII", "SUBSTRING",
+    "SUBSTR", "MID", "VERSION", "USER", "SCHEMA", "PASSWORD", "MD5", "SHA1", "SHA2", "ENCODE", "DECODE", "HEX", "UNHEX", "CONV", "CONVERT", "CAST",
+])
+SQL_FUNCTIONS = frozenset([
+    "CONCAT", "SUBSTR", "SUBSTRING", "MID", "LENGTH", "LEN", "CHAR", "ASCII", "ORD", "CONV", "HEX", "UNHEX", "BIN", "OCT", "MD5", "SHA1", "SHA2",
+    "ENCODE", "DECODE", "COMPRESS", "UNCOMPRESS", "AES_ENCRYPT", "AES_DECRYPT", "PASSWORD", "ENCRYPT", "VERSION", "USER", "DATABASE", "SCHEMA",
+    "CURRENT_USER", "SESSION_USER", "SYSTEM_USER", "NOW", "CURDATE", "CURTIME", "UTC_DATE", "UTC_TIME", "SLEEP", "BENCHMARK", "LOAD_FILE",
+    "EXTRACTVALUE", "UPDATEXML", "FLOOR", "RAND", "CEIL", "ROUND", "COUNT", "SUM", "AVG", "MIN", "MAX", "GROUP_CONCAT", "COALESCE", "NULLIF",
+    "IFNULL", "NVL", "CASE", "IF", "IIF", "CONVERT", "CAST", "TRIM", "LTRIM", "RTRIM", "UPPER", "LOWER", "UCASE", "LCASE", "REPLACE", "REVERSE",
+    "INSERT", "INSTR", "LOCATE", "POSITION", "FIND_IN_SET", "FIELD", "ELT", "MAKE_SET", "EXPORT_SET", "REPEAT", "SPACE", "LPAD", "RPAD", "LEFT",
+    "RIGHT", "QUOTE", "SOUNDEX", "FORMAT",
+])
 #: Token fingerprints of injections.
-SQL_FINGERPRINTS = frozenset(
-    "1&1 s&s 1&s s&1 sok 1ok so1 1o1 sos sks 1k1 sk1 1ks 1kk skk Ek kk kkk kks kk1 kkf kfk scs 1c1 sc 1c ck cs c1 f fk kf fs f1 fEk E&E Eo oE EoE okk ok kfE "
-    "fkf 1&1o1 s&so1 1&sos so1o1 kf1E".split())
+SQL_FINGERPRINTS = frozenset([
+    "1&1", "s&s", "1&s", "s&1", "sok", "1ok", "so1", "1o1", "sos", "sks", "1k1", "sk1", "1ks", "1kk", "skk", "Ek", "kk", "kkk", "kks", "kk1", "kkf",
+    "kfk", "scs", "1c1", "sc", "1c", "ck", "cs", "c1", "f", "fk", "kf", "fs", "f1", "fEk", "E&E", "Eo", "oE", "EoE", "okk", "ok", "kfE", "fkf",
+    "1&1o1", "s&so1", "1&sos", "so1o1", "kf1E",
+])
 #: Texts one of which a text must hold (ASCII case ignored) to be looked at for scripts.
 XSS_HINTS = ["<", "javascript", "vbscript", "on", "eval", "innerhtml", "outerhtml", "document.", "window.", "%3c", "&lt", "\\x3c", "\\u003c"]
 #: Patterns of script injection.
@@ -59,16 +67,24 @@ XSS_PATTERNS = [
 ]
 #: Tags, event handlers and schemes, ASCII case ignored.
 XSS_TAGS = [
-    "<" + t for t in "script iframe object embed applet form input button select textarea link style meta base svg math video audio source track canvas frame "
-    "frameset layer ilayer bgsound isindex marquee blink plaintext listing xmp noscript template slot portal img body".split()]
+    "<script", "<iframe", "<object", "<embed", "<applet", "<form", "<input", "<button", "<select", "<textarea", "<link", "<style", "<meta", "<base",
+    "<svg", "<math", "<video", "<audio", "<source", "<track", "<canvas", "<frame", "<frameset", "<layer", "<ilayer", "<bgsound", "<isindex",
+    "<marquee", "<blink", "<plaintext", "<listing", "<xmp", "<noscript", "<template", "<slot", "<portal", "<img", "<body",
+]
 XSS_HANDLERS = [
-    f"on{h}=" for h in "abort afterprint animationend animationiteration animationstart beforeprint beforeunload blur canplay canplaythrough change click "
-    "contextmenu copy cut dblclick drag dragend dragenter dragleave dragover dragstart drop durationchange emptied ended error focus focusin focusout hashchange "
-    "input invalid keydown keypress keyup load loadeddata loadedmetadata loadstart message mousedown mouseenter mouseleave mousemove mouseout mouseover mouseup "
-    "mousewheel offline online open pagehide pageshow paste pause play playing popstate progress ratechange reset resize scroll search seeked seeking select show "
-    "stalled storage submit suspend timeupdate toggle touchcancel touchend touchmove touchstart transitionend unload volumechange waiting wheel pointerdown "
-    "pointermove pointerup pointercancel pointerenter pointerleave pointerover pointerout gotpointercapture lostpointercapture beforeinput formdata "
-    "securitypolicyviolation slotchange visibilitychange".split()]
+    "onabort=", "onafterprint=", "onanimationend=", "onanimationiteration=", "onanimationstart=", "onbeforeprint=", "onbeforeunload=", "onblur=",
+    "oncanplay=", "oncanplaythrough=", "onchange=", "onclick=", "oncontextmenu=", "oncopy=", "oncut=", "ondblclick=", "ondrag=", "ondragend=",
+    "ondragenter=", "ondragleave=", "ondragover=", "ondragstart=", "ondrop=", "ondurationchange=", "onemptied=", "onended=", "onerror=", "onfocus=",
+    "onfocusin=", "onfocusout=", "onhashchange=", "oninput=", "oninvalid=", "onkeydown=", "onkeypress=", "onkeyup=", "onload=", "onloadeddata=",
+    "onloadedmetadata=", "onloadstart=", "onmessage=", "onmousedown=", "onmouseenter=", "onmouseleave=", "onmousemove=", "onmouseout=",
+    "onmouseover=", "onmouseup=", "onmousewheel=", "onoffline=", "ononline=", "onopen=", "onpagehide=", "onpageshow=", "onpaste=", "onpause=",
+    "onplay=", "onplaying=", "onpopstate=", "onprogress=", "onratechange=", "onreset=", "onresize=", "onscroll=", "onsearch=", "onseeked=",
+    "onseeking=", "onselect=", "onshow=", "onstalled=", "onstorage=", "onsubmit=", "onsuspend=", "ontimeupdate=", "ontoggle=", "ontouchcancel=",
+    "ontouchend=", "ontouchmove=", "ontouchstart=", "ontransitionend=", "onunload=", "onvolumechange=", "onwaiting=", "onwheel=", "onpointerdown=",
+    "onpointermove=", "onpointerup=", "onpointercancel=", "onpointerenter=", "onpointerleave=", "onpointerover=", "onpointerout=",
+    "ongotpointercapture=", "onlostpointercapture=", "onbeforeinput=", "onformdata=", "onsecuritypolicyviolation=", "onslotchange=",
+    "onvisibilitychange=",
+]
 XSS_SCHEMES = ["javascript:", "vbscript:", "livescript:", "mocha:"]
 #: What is reported of the four kinds of finding.
 XSS_KINDS = ["XSS pattern match", "Dangerous HTML tag", "Event handler", "Dangerous URL scheme"]

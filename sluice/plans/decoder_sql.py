@@ -29,9 +29,13 @@ def body(column: str) -> str:
     return f"coalesce(TRY(decode({column})), {lossy(f'hex({column})')})"
 
 
+def percent_hex(v: str) -> str:
+    """The bytes of a text with its percent codes resolved, in hexadecimal digits."""
+    return _joined(f"list_transform(regexp_extract_all({v}, '%[0-9A-Fa-f]{{2}}|[^%]+|%'), lambda t: CASE WHEN len(t) = 3 AND regexp_matches(t, '^%[0-9A-Fa-f]{{2}}$') THEN upper(substr(t, 2)) ELSE hex(encode(t)) END)")
+
+
 def percent(v: str) -> str:
-    hexed = _joined(f"list_transform(regexp_extract_all({v}, '%[0-9A-Fa-f]{{2}}|[^%]+|%'), lambda t: CASE WHEN len(t) = 3 AND regexp_matches(t, '^%[0-9A-Fa-f]{{2}}$') THEN upper(substr(t, 2)) ELSE hex(encode(t)) END)")
-    return f"CASE WHEN contains({v}, '%') THEN {lossy(hexed)} ELSE {v} END"
+    return f"CASE WHEN contains({v}, '%') THEN {lossy(percent_hex(v))} ELSE {v} END"
 
 
 def _char(digits: str) -> str:

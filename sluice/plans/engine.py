@@ -312,11 +312,13 @@ class Evaluator:
                     "metadata": [{**m.__dict__, "tags": list(m.tags)}]})
         return out
 
-    def evaluate(self, df: DataFrame, phases: tuple[int, ...] = (1, 2, 3, 4, 5)) -> DataFrame:
+    def evaluate(self, df: DataFrame, phases: tuple[int, ...] = (1, 2, 3, 4, 5), carried: str | None = None, called: str | None = None) -> DataFrame:
         """``df`` with matched_rules, intervention, allowed, anomaly_score and tx (replacing columns of these names).
 
         Phase 2 runs for rows whose has_request_body_phase is true (for all, if the column is absent);
         other phases for all rows. Repeated rows get the same verdict each; an empty table stays empty.
+        ``called`` names an array of the phases to run for a row instead. With ``carried``, evaluation goes on from
+        the state of that name (null: from the beginning), and the column holds the new state.
         """
         self._spark = df.sparkSession
         new = ("matched_rules", "intervention", "allowed", "anomaly_score", "tx")
@@ -324,17 +326,25 @@ class Evaluator:
         empty = {"stop": F.lit(-1), "allowed": F.lit(False), "tx": F.expr("cast(map() as map<string,string>)"), "scores": F.array(*[F.lit(0)] * len(LOADED)),
                  "hits": F.expr("cast(array() as array<string>)")}
         used = {v.name for p in phases for r in self.ruleset.phases[p] for v in r.variables}
-        out = Request.prepared(df, used).withColumn(STATE, F.struct(*[empty[k].cast(t).alias(k) for k, t in _STATE.items()]))
+        start = F.struct(*[empty[k].cast(t).alias(k) for k, t in _STATE.items()])
+        out = Request.prepared(df, used).withColumn(STATE, F.coalesce(F.col(carried), start) if carried else start)
         for p in phases:
-            body = p == 2 and "has_request_body_phase" in df.columns
-            out = self._phase(out, p, F.coalesce(F.col("has_request_body_phase"), F.lit(False)) if body else F.lit(True))
+            if called:
+                invoked = F.coalesce(F.array_contains(called, p), F.lit(False))
+            else:
+                invoked = F.coalesce(F.col("has_request_body_phase"), F.lit(False)) if p == 2 and "has_request_body_phase" in df.columns else F.lit(True)
+            out = self._phase(out, p, invoked)
         s = F.col(STATE)
         verdict = F.get(_constant(self.interventions(), f"array<{INTERVENTION}>"), F.when(s["stop"] >= 0, s["stop"]))
         return out.select(
-            *[F.col(f"`{c}`") for c in df.columns], s["hits"].alias("matched_rules"), verdict.alias("intervention"), s["allowed"].alias("allowed"),
+            *[s.alias(c) if c == carried else F.col(f"`{c}`") for c in df.columns], s["hits"].alias("matched_rules"), verdict.alias("intervention"), s["allowed"].alias("allowed"),
             F.get(s["scores"], F.lit(0)).alias("anomaly_score"), s["tx"].alias("tx"))
 
 
+#: Type of the state that ``evaluate`` carries.
+STATE_TYPE = "struct<" + ",".join(f"{k}:{t}" for k, t in _STATE.items()) + ">"
+
+
 def _put(tx: Column, key: Column, value: Column) -> Column:
     return F.map_concat(F.map_filter(tx, lambda k, v: k != key), F.create_map(key, value))
 

@@ -23,6 +23,7 @@ from ..seclang.ruleset import Ruleset
 from ..sources import shared_dir, table
 from ..streaming import assemble, verdicts
 from . import decoder_sql as said
+from . import detector_sql as found
 from .decoder_sql import SPACE
 from .engine import Evaluator, expand_macros, format_log
 
@@ -165,10 +166,13 @@ for _label, _text, _sql, _column in [
     ("unconditionalMatch", "@unconditionalMatch", "v IS NOT NULL", "client_ip"), ("noMatch", "@noMatch", "false", "client_ip"),
     *[(n, f"@{n} x", "false", "uri") for n in (
         "verifyCC verifySSN verifyCPF validateHash validateDTD validateSchema rbl geoLookup gsbLookup inspectFile fuzzyHash rsub").split()],
-    ("detectSQLi", "@detectSQLi", None, "vals"), ("detectXSS", "@detectXSS", None, "vals"),
 ]:
     _operator(_label, _text, _sql, _column)
 
+_VALS = f"SELECT tx_id, unnest(args_get).value AS v FROM {TX}"
+for _label, _op, _sql in (("detectSQLi", "@detectSQLi", f"SELECT tx_id, sqli IS NOT NULL AS hit FROM ({found.sqli(_VALS)})"), ("detectXSS", "@detectXSS", f"SELECT tx_id, xss IS NOT NULL AS hit FROM ({found.xss(_VALS)})")):
+    _operator(_label, _op, None, "vals")
+    SQL[f"op_{_label}"] = _sql
 _hinted = lambda hints: "(" + " OR ".join("contains(lower(v), '{}')".format(h.replace("'", "''")) for h in hints) + ")"
 _any = lambda ps: "(" + " OR ".join("regexp_matches(v, '{}')".format(p.replace("'", "''")) for p in ps) + ")"
 _literal = lambda ts: "(" + " OR ".join(f"contains(lower(v), '{t}')" for t in ts) + ")"
@@ -178,7 +182,8 @@ _add("op_xss_patterns", lambda s, d: _values(s, d).select("tx_id", (detectors.xs
      f"WITH {VALUES_SQL} SELECT tx_id, {_hinted(detectors.XSS_HINTS)} AND ({_any(detectors.XSS_PATTERNS)} OR "
      f"{_literal(detectors.XSS_TAGS + detectors.XSS_HANDLERS + detectors.XSS_SCHEMES)}) AS hit FROM vals")
 _add("op_detection_fingerprints", lambda s, d: _values(s, d).select("tx_id", detectors.detection(F.col("v"), "sqli").alias("q"), detectors.detection(F.col("v"), "xss").alias("x")).select(
-    "tx_id", F.col("q.is_injection").alias("sqli"), F.col("q.fingerprint").alias("sqli_fingerprint"), F.col("x.is_injection").alias("xss"), F.col("x.fingerprint").alias("xss_fingerprint")))
+    "tx_id", F.col("q.is_injection").alias("sqli"), F.col("q.fingerprint").alias("sqli_fingerprint"), F.col("x.is_injection").alias("xss"), F.col("x.fingerprint").alias("xss_fingerprint")),
+     f"SELECT tx_id, sqli IS NOT NULL AS sqli, sqli AS sqli_fingerprint, xss IS NOT NULL AS xss, xss AS xss_fingerprint FROM ({found.xss(found.sqli(_VALS))})")
 _add("op_rx_captures", lambda s, d: _tx(s, d).select("tx_id", F.array_join(rx_groups(F.col("uri"), r"^/([a-z]+)/([a-z0-9]+)"), "|").alias("groups")),
      f"SELECT tx_id, CASE WHEN regexp_matches(uri, '^/([a-z]+)/([a-z0-9]+)') THEN regexp_extract(uri, '^/([a-z]+)/([a-z0-9]+)', 1) || '|' || "
      f"regexp_extract(uri, '^/([a-z]+)/([a-z0-9]+)', 2) WHEN uri IS NOT NULL THEN '' END AS groups FROM {TX}")
@@ -309,7 +314,12 @@ _verdicts("late_phases", 'SecRule REQUEST_METHOD "@streq POST" "id:21,phase:2,de
               "concat_ws(',', CASE WHEN b THEN '21' END, CASE WHEN NOT b AND n > 0 THEN '30' END, CASE WHEN NOT b AND method <> '' THEN '50' END)", _case(("b", "403"), "0"),
               source=f"(SELECT *, coalesce(has_request_body_phase AND method = 'POST', false) AS b, len(list_filter(response_headers, lambda h: lower(h.name) = 'x-node' AND starts_with(h.value, 'n1'))) AS n FROM {TX})"))
 _verdicts("detectors", 'SecRule ARGS "@detectSQLi" "id:942100,phase:1,setvar:tx.anomaly_score=+5"\nSecRule ARGS "@detectXSS" "id:941100,phase:1,setvar:tx.anomaly_score=+5"\n'
-          'SecRule TX:anomaly_score "@ge 5" "id:949110,phase:1,deny"\n', None)
+          'SecRule TX:anomaly_score "@ge 5" "id:949110,phase:1,deny"\n',
+          "SELECT tx_id, concat_ws(',', CASE WHEN q THEN '942100' END, CASE WHEN x THEN '941100' END, CASE WHEN q OR x THEN '949110' END) AS rules, CASE WHEN q OR x THEN 403 ELSE 0 END AS status, "
+          "false AS allowed, CASE WHEN q AND x THEN 10 WHEN q OR x THEN 5 ELSE 0 END AS anomaly_score "
+          f"FROM (SELECT n, any_value(tx_id) AS tx_id, coalesce(bool_or(sqli IS NOT NULL), false) AS q, coalesce(bool_or(xss IS NOT NULL), false) AS x "
+          "FROM (SELECT n, tx_id, unnest(CASE WHEN len(args_get) > 0 THEN list_transform(args_get, lambda a: a.value) ELSE [''] END) AS v "
+          f"FROM (SELECT tx_id, args_get, row_number() OVER () AS n FROM {TX})) LEFT JOIN ({found.xss(found.sqli(f'SELECT DISTINCT v FROM ({_VALS})'))}) USING (v) GROUP BY n)")
 _in_many = " + ".join(f"CASE WHEN contains(uri, '{w}') THEN 1 ELSE 0 END" for w in [f"/{i}" for i in range(100, 300)])
 MANY = "".join(f'SecRule REQUEST_URI "@contains /{i}" "id:{i},phase:1,setvar:tx.anomaly_score=+1"\n' for i in range(100, 300)) + 'SecRule TX:anomaly_score "@ge 2" "id:999,phase:1,deny"\n'
 _verdicts("many_rules", MANY, f"SELECT tx_id, {_in_many} AS anomaly_score, CASE WHEN {_in_many} >= 2 THEN 403 ELSE 0 END AS status FROM {TX}",
