@@ -12,7 +12,7 @@ import os
 from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,7 +33,8 @@ PHRASE_PLACES = ("", "test-rules/crs/rules/", "rules/")
 class Predicate:
     """Never null for texts that aren't. ``constant`` is set where every text gets the same answer.
 
-    ``needs`` are texts one of which any text that satisfies the predicate holds, case aside, if such are known.
+    ``needs`` are texts one of which any text that satisfies the predicate holds, case aside, if such are known;
+    then ``sql`` is the test as SQL text, given the SQL text of what is tested.
     """
 
     test: Callable[[Column], Column] | None = None
@@ -42,6 +43,12 @@ class Predicate:
     python: Callable[[str], bool] | None = None
     constant: bool | None = None
     needs: frozenset[str] | None = None
+    sql: Callable[[str], str] | None = None
+
+
+def quoted(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _always(value: bool) -> Predicate:
@@ -72,7 +79,7 @@ def _rx(arg: str) -> Predicate:
         java = to_java(arg)
     except BadPattern:
         return _always(False)
-    return Predicate(lambda v: _sure(v.rlike(java)), needs=needed(arg)) if compiles(java) else _always(False)
+    return Predicate(lambda v: _sure(v.rlike(java)), needs=needed(arg), sql=lambda v: f"{v} RLIKE {quoted(java)}") if compiles(java) else _always(False)
 
 
 def rx_groups(v: Column, pattern: str) -> Column:
@@ -95,11 +102,12 @@ def _phrases(phrases: list[str]) -> Predicate:
     if not phrases:
         raise InvalidArgument("pm: no phrases")
     pattern = any_of(phrases)
-    return Predicate(lambda v: _sure(v.rlike(pattern)), needs=frozenset(phrases))
+    return Predicate(lambda v: _sure(v.rlike(pattern)), needs=frozenset(phrases), sql=lambda v: f"{v} RLIKE {quoted(pattern)}")
 
 
-def _literal(test: Callable[[Column], Column], texts: list[str]) -> Predicate:
-    return Predicate(test, needs=frozenset(texts) if all(texts) else None)
+def _literal(test: Callable[[Column], Column], texts: list[str], sql: Callable[[str, str], str]) -> Predicate:
+    given = ", ".join(map(quoted, texts))
+    return Predicate(test, needs=frozenset(texts) if all(texts) else None, sql=lambda v: sql(v, given))
 
 
 def _compare(arg: str, by: Callable[[Column, int], Column]) -> Predicate:
@@ -192,9 +200,9 @@ _SQLI, _XSS = Predicate(lambda v: _sure(detectors.sqli_test(v)), python=detector
 
 _BUILD: dict[str, Callable[[str], Predicate]] = {
     "rx": _rx, "pm": lambda a: _phrases(a.split()), "pmfromfile": lambda a: _phrases(_lines(a, PHRASE_PLACES)),
-    "contains": lambda a: _literal(lambda v: F.contains(v, F.lit(a)), [a]), "beginswith": lambda a: _literal(lambda v: v.startswith(a), [a]),
-    "endswith": lambda a: _literal(lambda v: v.endswith(a), [a]), "streq": lambda a: _literal(lambda v: v == a, [a]),
-    "within": lambda a: _literal(lambda v: v.isin(a.split()), a.split()) if a.split() else _always(False),
+    "contains": lambda a: _literal(lambda v: F.contains(v, F.lit(a)), [a], "contains({}, {})".format), "beginswith": lambda a: _literal(lambda v: v.startswith(a), [a], "startswith({}, {})".format),
+    "endswith": lambda a: _literal(lambda v: v.endswith(a), [a], "endswith({}, {})".format), "streq": lambda a: _literal(lambda v: v == a, [a], "{} = {}".format),
+    "within": lambda a: _literal(lambda v: v.isin(a.split()), a.split(), "{} IN ({})".format) if a.split() else _always(False),
     "eq": lambda a: _compare(a, lambda v, n: v == n), "gt": lambda a: _compare(a, lambda v, n: v > n), "lt": lambda a: _compare(a, lambda v, n: v < n),
     "ge": lambda a: _compare(a, lambda v, n: v >= n), "le": lambda a: _compare(a, lambda v, n: v <= n), "ne": _differs,
     "detectsqli": lambda a: _SQLI, "detectxss": lambda a: _XSS,
@@ -211,14 +219,20 @@ def register(name: str, build: Callable[[str], Predicate]) -> None:
 
     parser.OPERATORS.add(name.lower())
     _BUILD[name.lower()] = build
+    _built.cache_clear()
+
+
+@lru_cache(maxsize=10_000)
+def _built(name: str, argument: str) -> Predicate:
+    return _BUILD[name](argument)
 
 
 def predicate(op: Operator) -> Predicate:
-    """The predicate of an operator, negation aside. Raises for unusable arguments."""
+    """The predicate of an operator, negation aside. Raises for unusable arguments. Those of files are read again each time."""
     name = ALIASES.get(op.name, op.name)
     if name not in _BUILD:
         raise UnknownOperator(op.name)
-    return _BUILD[name](op.argument)
+    return _BUILD[name](op.argument) if name.endswith("fromfile") else _built(name, op.argument)
 
 
 def check(op: Operator) -> None:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.regex import any_of
 from ..functions.requests import Request, scalar_selected, selected
 from ..functions.transformations import apply_transformations, native_only, transformation
-from ..operators.predicates import Predicate, integer, predicate
+from ..operators.predicates import Predicate, integer, predicate, quoted
 from ..seclang.parser import COLLECTIONS, SCALARS
 from ..seclang.ruleset import Rule, Ruleset, is_allow, is_terminal, outcome_status
 
@@ -77,43 +77,44 @@ class Evaluator:
         return df.withColumns(columns) if columns else df, {k: F.col(f"{SHARED}{i}") for i, k in enumerate(wanted)}
 
     @staticmethod
-    def _guard(df: DataFrame, request: Request, rules: list[Rule], shared: dict) -> tuple[DataFrame, dict[tuple, Column], dict[int, list[str]]]:
+    def _guard(df: DataFrame, request: Request, rules: list[Rule], shared: dict) -> tuple[DataFrame, dict[tuple, str], dict[int, list[str]]]:
         """``df`` with a column for all texts that many rules read: for each few rules whether a text holds what one of them needs; null where none does.
 
-        Also the flag of every (rule, variable) that has one, and for rules that only texts with a guard can satisfy its columns.
+        Also the test of every (rule, variable) that has one, as SQL text (one parse is much faster than an object for
+        every part of so many), and for rules that only texts with a guard can satisfy the names of these columns.
         """
         readers: dict[tuple, list[int]] = {}
         for i, r in enumerate(rules):
-            if predicate(r.operator).needs and not r.operator.negated:
+            p = predicate(r.operator)
+            if p.needs and p.sql and not r.operator.negated:
                 for v in dict.fromkeys(r.variables):
                     if v.name in COLLECTIONS and v.name != "TX" or v.name in SCALARS and scalar_selected(v):
                         readers.setdefault((v, r.transformations), []).append(i)
-        columns, flags, where = {}, {}, {}
-        for (v, names), own in readers.items():
-            if len(own) < GUARDED:
+        readers = {k: own for k, own in readers.items() if len(own) >= GUARDED}
+        texts, columns, tests, where = {}, {}, {}, {}
+        for n, ((v, names), own) in enumerate(readers.items()):
+            if (v, names) not in shared and v.name in COLLECTIONS:
                 continue
-            texts = shared.get((v, names))
-            if texts is None and v.name in SCALARS:
-                texts = apply_transformations(request.scalar(v.name), names)
+            at, name = f"{GUARD}text{n}", f"{GUARD}{n}"
+            texts[at] = shared[v, names] if (v, names) in shared else apply_transformations(request.scalar(v.name), names)
+            test = (lambda t, at=at: t(at)) if v.name in SCALARS else (lambda t, at=at: f"exists({at}, x -> {t('x')})")
             # Unicode case, as patterns may ignore it.
-            holds = lambda some, texts=texts, v=v: (
-                texts.rlike(any_of(some, "(?iu)")) if v.name in SCALARS else F.exists(texts, lambda t: t.rlike(any_of(some, "(?iu)"))))
+            holds = lambda some, test=test: test(lambda x: f"{x} RLIKE {quoted(any_of(some, '(?iu)'))}")
             needs = [predicate(rules[i].operator).needs for i in own]
-            parts = [frozenset().union(*needs[k : k + PART]) for k in range(0, len(own), PART)]
-            name = f"{GUARD}{len(columns)}"
-            columns[name] = F.when(holds(frozenset().union(*needs)), F.array(*map(holds, parts)))
+            parts = [holds(frozenset().union(*needs[k : k + PART])) for k in range(0, len(own), PART)]
+            columns[name] = F.expr(f"CASE WHEN {holds(frozenset().union(*needs))} THEN array({', '.join(parts)}) END")
             for k, i in enumerate(own):
-                flags[i, v] = F.coalesce(F.get(F.col(name), F.lit(k // PART)), F.lit(False))
+                tests[i, v] = f"CASE WHEN get({name}, {k // PART}) THEN {test(predicate(rules[i].operator).sql)} ELSE false END"
                 where.setdefault(i, []).append(name)
         least = {i: names for i, names in where.items() if len(names) == len(set(rules[i].variables))}
-        return df.withColumns(columns) if columns else df, flags, least
+        return df.withColumns(texts).withColumns(columns) if columns else df, tests, least
 
     @staticmethod
-    def _match(request: Request, rule: Rule, shared: dict, flags: dict, guards: dict) -> tuple[Column, Column | None]:
+    def _match(request: Request, rule: Rule, shared: dict, flags: dict, tests: dict) -> tuple[Column, Column | None]:
         """Whether any value outside TX satisfies the rule, and whether there is a value (None: always).
 
         ``shared`` has transformed texts, ``flags`` what Python said of them for earlier rules of the phase,
-        ``guards`` by variable whether its texts hold what the rule needs.
+        ``tests`` by variable SQL text of the rule's test where there is one.
         """
         p, neg, names = predicate(rule.operator), rule.operator.negated, rule.transformations
         sign = lambda hit: ~hit if neg else hit
@@ -123,7 +124,6 @@ class Evaluator:
         for v in rule.variables:
             ready = shared.get((v, names))
             asked = (v, names, rule.operator.name, rule.operator.argument)
-            narrow = lambda hit, v=v: F.when(guards[v], hit).otherwise(F.lit(False)) if v in guards else hit
             if v.name in SCALARS:
                 if not scalar_selected(v):
                     continue
@@ -131,14 +131,19 @@ class Evaluator:
                 if p.constant is not None:
                     hits.append(F.lit(p.constant != neg))
                     continue
+                if v in tests:
+                    hits.append(F.expr(tests[v]))
+                    continue
                 text = apply_transformations(request.scalar(v.name), names) if ready is None else ready
                 if not p.test and asked not in flags:
                     flags[asked] = p.single(text)
-                hits.append(narrow(sign(p.test(text) if p.test else flags[asked])))
+                hits.append(sign(p.test(text) if p.test else flags[asked]))
             elif v.name in COLLECTIONS and v.name != "TX":
                 pairs = selected(request.collection(v.name), v)
                 some.append(F.size(pairs) > 0)
-                if p.constant is not None:
+                if v in tests:
+                    hits.append(F.expr(tests[v]))
+                elif p.constant is not None:
                     hits.append(F.size(pairs) > 0 if p.constant != neg else F.lit(False))
                 elif p.test and ready is None:  # then the pipeline is native
                     hits.append(F.exists(pairs, lambda x: sign(p.test(apply_transformations(x["value"], names)))))
@@ -148,7 +153,7 @@ class Evaluator:
                         texts = apply_transformations(F.transform(pairs, lambda x: x["value"]), names, many=True)
                     if not p.test and asked not in flags:
                         flags[asked] = p.many(texts)
-                    hits.append(narrow(F.exists(texts, lambda t: sign(p.test(t))) if p.test else F.exists(flags[asked], sign)))
+                    hits.append(F.exists(texts, lambda t: sign(p.test(t))) if p.test else F.exists(flags[asked], sign))
         return _or(hits), None if always else _or(some)
 
     def _tx_match(self, rule: Rule, tx: Column) -> tuple[Column, Column]:
@@ -210,26 +215,27 @@ class Evaluator:
         tx_rules = {i: r for i, r in enumerate(rules) if any(v.name == "TX" for v in r.variables)}
         chained = any(r.is_chain and self._jump(r, phase, i, len(rules)) != i + 1 for i, r in enumerate(rules))
         df, shared = self._share(df, request, rules)
-        df, guards, narrow = self._guard(df, request, rules, shared)
+        df, tests, narrow = self._guard(df, request, rules, shared)
         flags: dict = {}
         steps, late, filled = [], [], {}
         for i, r in enumerate(rules):
-            hit, some = self._match(request, r, shared, flags, {v: c for (k, v), c in guards.items() if k == i})
+            # A rule that misses is a step only where a miss can matter: in a chain, or if TX may make it match.
+            stays = i in tx_rules or chained or (i > 0 and rules[i - 1].is_chain)
+            own = {v: tests[i, v] for v in r.variables if (i, v) in tests}
+            if i in narrow and not stays:
+                late.append(f"CASE WHEN {' OR '.join(own.values())} THEN {2 * i + 1} END")
+                continue
+            hit, some = self._match(request, r, shared, flags, own)
             if i in tx_rules:
                 filled[i] = F.lit(True) if some is None else some
             elif some is not None and r.operator.negated and r.variables:
                 hit = hit | ~some
-            # A rule that misses is a step only where a miss can matter: in a chain, or if TX may make it match.
-            stays = i in tx_rules or chained or (i > 0 and rules[i - 1].is_chain)
             step = F.when(F.coalesce(hit, F.lit(False)), F.lit(2 * i + 1))
-            if stays or i not in narrow:
-                steps.append(step.otherwise(F.lit(2 * i)) if stays else step)
-            else:
-                late.append(step)
+            steps.append(step.otherwise(F.lit(2 * i)) if stays else step)
         all_steps = F.array_compact(F.array(*steps)) if steps else F.expr("cast(array() as array<int>)")
         if late:  # nothing of them is looked at in rows without any guard's hit
             open_ = _or([F.col(c).isNotNull() for c in dict.fromkeys(c for names in narrow.values() for c in names)])
-            more = F.when(open_, F.array_sort(F.concat(all_steps, F.array_compact(F.array(*late)))))
+            more = F.when(open_, F.array_sort(F.concat(all_steps, F.expr(f"array_compact(array({', '.join(late)}))"))))
             all_steps = F.coalesce(more, all_steps)
         df = df.withColumn(STEPS, all_steps)
         if filled:

@@ -246,16 +246,16 @@ _WORDS = ("union select script alert passwd admin login search harbor granite la
 
 def _pattern(i: int) -> str:
     a, b = _WORDS[i % len(_WORDS)], _WORDS[(7 * i + 3) % len(_WORDS)]
-    return [rf"(?i){a}[^&]{{0,40}}{b}", rf"(?:{a}|{b})[=:/]+[a-z0-9]+[-_]", rf"^/?{a}[-_.][0-9]+", rf"{a}[ ]*[(<][ ]*[a-z]", rf"[<;|`][ ]*{a}(?:[ ]+{b})?"][i // len(_WORDS)]
+    return "(?i)" + [rf"{a}[^&]{{0,40}}{b}", rf"(?:{a}|{b})[=:/]+[a-z0-9]+[-_]", rf"^/?{a}[-_.][0-9]+", rf"{a}[ ]*[(<][ ]*[a-z]", rf"[<;|`][ ]*{a}(?:[ ]+{b})?"][i // len(_WORDS)]
 
 
 PATTERNS = [_pattern(i) for i in range(200)]
-MANY_PATTERNS = "".join(f'SecRule ARGS|REQUEST_HEADERS|REQUEST_URI "@rx {p}" "id:{1000 + i},phase:1,pass,t:urlDecodeUni,t:lowercase,setvar:tx.anomaly_score=+1"\n' for i, p in enumerate(PATTERNS)) + (
+MANY_PATTERNS = "".join(f'SecRule ARGS|REQUEST_HEADERS|REQUEST_URI "@rx {p}" "id:{1000 + i},phase:1,pass,t:urlDecodeUni,setvar:tx.anomaly_score=+1"\n' for i, p in enumerate(PATTERNS)) + (
     'SecRule TX:anomaly_score "@ge 3" "id:9999,phase:1,deny"\n')
 
 
 def eng_many_patterns(spark: SparkSession, d: str) -> DataFrame:
-    """200 patterns over arguments, headers and URI, decoded and lowered, each of which counts. A file of one row group is spread over all cores first."""
+    """200 patterns over arguments, headers and URI, decoded, each of which counts. A file of one row group is spread over all cores first."""
     df = _tx(spark, d).select("tx_id", "uri", "request_headers")
     cores = spark.sparkContext.defaultParallelism
     return _verdicts(Evaluator(Ruleset.from_string(MANY_PATTERNS)).evaluate(df.repartition(cores) if df.rdd.getNumPartitions() < cores else df))
@@ -265,7 +265,7 @@ def _many_sql() -> str:
     from .decoder_sql import url_decode_uni
 
     hits = ", ".join("CASE WHEN len(list_filter(vs, lambda v: regexp_matches(v, '{}'))) > 0 THEN '{}' END".format(p, 1000 + i) for i, p in enumerate(PATTERNS))
-    return f"""WITH t AS (SELECT tx_id, list_transform(list_transform(args_get, lambda a: a.value) || list_transform(request_headers, lambda h: coalesce(h.value, '')) || [coalesce(uri, '')], lambda x: lower({url_decode_uni('x')})) AS vs FROM {TX}),
+    return f"""WITH t AS (SELECT tx_id, list_transform(list_transform(args_get, lambda a: a.value) || list_transform(request_headers, lambda h: coalesce(h.value, '')) || [coalesce(uri, '')], lambda x: {url_decode_uni('x')}) AS vs FROM {TX}),
              h AS (SELECT tx_id, list_filter([{hits}], lambda x: x IS NOT NULL) AS hs FROM t)
         SELECT tx_id, array_to_string(CASE WHEN len(hs) >= 3 THEN hs || ['9999'] ELSE hs END, ',') AS rules, CASE WHEN len(hs) >= 3 THEN 403 ELSE 0 END AS status, false AS allowed, len(hs)::INTEGER AS anomaly_score FROM h"""
 
