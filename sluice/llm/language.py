@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ CHANGE = 1.0
 ENOUGH = 40
 #: Share of held-out labels taken to be wrong, so that the temperature of a faultless model stays bounded.
 DOUBT = 0.005
-#: Names and codes of the languages told apart.
+#: Other spellings of some languages. Languages are those of the samples' labels, whether they stand here or not.
 NAMES = {
     "en": ["en", "eng", "english"], "de": ["de", "deu", "ger", "german"], "fr": ["fr", "fra", "fre", "french"],
     "es": ["es", "spa", "spanish", "castilian"], "pt": ["pt", "por", "portuguese"], "ru": ["ru", "rus", "russian"], NO_LANGUAGE: [NO_LANGUAGE],
@@ -37,11 +37,15 @@ SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+")
 WORD = re.compile(r"[^\W\d_]")
 
 
-def label_language(label: Column) -> Column:
-    """The language a label names (code, three-letter code or English name, any case, with or without a region), else null."""
-    bare = F.regexp_extract(F.lower(F.trim(label)), r"\A([a-z]+)(?:[-_][a-z0-9]+)*\z", 1)
-    out = None
-    for lang, names in NAMES.items():
+def _bare(label: Column) -> Column:
+    """A label in lower case without its region, '' if it is no code or name."""
+    return F.regexp_extract(F.lower(F.trim(label)), r"\A([a-z]+)(?:[-_][a-z0-9]+)*\z", 1)
+
+
+def label_language(label: Column, languages: tuple[str, ...] = ()) -> Column:
+    """The language a label names (code, three-letter code or English name, any case, with or without a region), else null. ``languages`` are codes besides those of NAMES."""
+    bare, out = _bare(label), None
+    for lang, names in {**{x: [x] for x in languages}, **NAMES}.items():
         out = F.when(bare.isin(names), lang) if out is None else out.when(bare.isin(names), lang)
     return out
 
@@ -113,13 +117,50 @@ def hash_text(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 4, alpha: float = 0.8, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 7) -> LanguageModel:
-    """FTRL-proximal with L1 and L2 on normal-form texts; a fifth is held out for the temperature, with its copies."""
+def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
+    """In how many texts of ``docs`` each slot occurs, and how many texts there are; each task counts in DIMENSIONS numbers."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(DIMENSIONS, dtype=np.int64), 0
+        for b in batches:
+            for texts in _pieces(b.column(0).to_pylist()):
+                seen += np.bincount(ngrams([normal(t) for t in texts])[1], minlength=DIMENSIONS)
+                n += len(texts)
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(seen[used], n))], ["slot", "n"])
+
+    rows = docs.select(F.col(text).alias("t")).where(F.length("t") > 0).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect()
+    out, n = np.zeros(DIMENSIONS), 0
+    for slot, k in rows:
+        if slot < 0:
+            n = k
+        else:
+            out[slot] = k
+    return out, n
+
+
+def _pieces(texts: list[str | None], most: int = 1 << 18) -> Iterator[list[str | None]]:
+    """Texts in groups of about ``most`` characters, so that what numpy holds at once is bounded by that or one text."""
+    piece, size = [], 0
+    for t in texts:
+        piece.append(t)
+        size += len(t) if t else 0
+        if size >= most:
+            yield piece
+            piece, size = [], 0
+    if piece:
+        yield piece
+
+
+def train(texts: list[str], labels: list[str], epochs: int = 4, alpha: float = 0.8, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 7, frequencies: tuple[np.ndarray, int] | None = None) -> LanguageModel:
+    """FTRL-proximal with L1 and L2 on normal-form texts; a fifth is held out for the temperature, with its copies.
+
+    ``frequencies`` are those of a corpus, of which the IDF weights are made; without them they are the texts' own.
+    """
     languages = tuple(sorted(set(labels)))
     y = np.array([languages.index(v) for v in labels])
     row, slot, _ = ngrams(texts)
-    df = np.bincount(slot, minlength=DIMENSIONS)
-    idf = np.log((1.0 + len(texts)) / (1.0 + df)) + 1.0
+    df, size = frequencies or (np.bincount(slot, minlength=DIMENSIONS), len(texts))
+    idf = np.log((1.0 + size) / (1.0 + df)) + 1.0
     row, slot, x = tf_idf(texts, idf)
     start = np.searchsorted(row, np.arange(len(texts) + 1))
     z, n = np.zeros((DIMENSIONS, len(languages))), np.zeros((DIMENSIONS, len(languages)))
@@ -170,9 +211,10 @@ def fit(samples: DataFrame, docs: DataFrame | None = None, text: str = "text", l
     """Trains on clean samples, then once more with sentences of labelled documents on which label and first model agree.
 
     At most TRAINING_SENTENCES samples and SENTENCES_EACH sentences of TRAINING_DOCUMENTS documents, those of
-    the smallest hashed ids, reach the driver. Without any usable sample this raises.
+    the smallest hashed ids, reach the driver; the IDF weights come from all of ``docs``. Every label of the samples
+    is a language. Without any usable sample this raises.
     """
-    usable = samples.select(F.col(text).alias("t"), label_language(F.col(lang)).alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.col("l") != NO_LANGUAGE))
+    usable = samples.select(F.col(text).alias("t"), F.coalesce(label_language(F.col(lang)), _bare(F.col(lang))).alias("l")).where(F.col("t").isNotNull() & (F.col("l") != "") & (F.col("l") != NO_LANGUAGE))
     rows = usable.orderBy(F.xxhash64("t"), "t").limit(TRAINING_SENTENCES).collect()
     if not rows:
         raise ValueError("no labelled samples")
@@ -180,59 +222,84 @@ def fit(samples: DataFrame, docs: DataFrame | None = None, text: str = "text", l
     model = train(*_with_accents_lost(texts, labels))
     if docs is None:
         return model
-    labelled = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), label_language(F.col(lang)).alias("l")).where(F.col("t").isNotNull() & F.col("l").isin(list(model.languages)))
+    frequencies = document_frequencies(docs, text)
+    labelled = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), label_language(F.col(lang), model.languages).alias("l")).where(F.col("t").isNotNull() & F.col("l").isin(list(model.languages)))
     more = labelled.orderBy(F.xxhash64("i"), "i").limit(TRAINING_DOCUMENTS).select(F.slice(F.split("t", SENTENCE.pattern), 1, SENTENCES_EACH), "l").collect()
     cand = [(s, l) for ts, l in more for s in ts if WORD.search(s)][:TRAINING_SENTENCES]
     if cand:
         p = model.probabilities([normal(s) for s, _ in cand])
         agree = [(s, l) for (s, l), k in zip(cand, p.argmax(axis=1)) if model.languages[k] == l]
         texts, labels = texts + [s for s, _ in agree], labels + [l for _, l in agree]
-        model = train(*_with_accents_lost(texts, labels))
-    return model
+    return train(*_with_accents_lost(texts, labels), frequencies=frequencies)
 
 
-def runs_of(texts: list[str | None], model: LanguageModel) -> list[list[tuple[int, str, float, int]]]:
-    """For each text its runs: (number, language, confidence, sentences). Confidence is the probability averaged over characters."""
+def _path(logp: np.ndarray) -> list[int]:
+    """The likeliest languages of a text's sentences, a change costing CHANGE."""
+    score, back = logp[0], []
+    for row in logp[1:]:
+        jump = score.max() - CHANGE
+        back.append(np.where(score >= jump, np.arange(len(score)), score.argmax()))
+        score = np.maximum(score, jump) + row
+    path = [int(score.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+def _runs_of(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs in each text, and of all runs in order the language's number (-1: none), the confidence and the sentences."""
     parts = [sentences(t) if t else [] for t in texts]
     flat = [normal(s) for p in parts for s in p]
+    counts = np.array([len(p) for p in parts], dtype=np.int64)
+    size = np.array([len(s) for p in parts for s in p], dtype=float)
     prob = model.probabilities(flat) if flat else np.zeros((0, len(model.languages)))
-    out, at = [], 0
-    for p in parts:
-        own, size = prob[at : at + len(p)], np.array([len(s) for s in p])
-        at += len(p)
-        if not p:
-            out.append([(0, NO_LANGUAGE, 1.0, 0)])
-            continue
-        logp = np.log(np.maximum(own, 1e-12))
-        score, back = logp[0], []
-        for row in logp[1:]:
-            jump = score.max() - CHANGE
-            back.append(np.where(score >= jump, np.arange(len(score)), score.argmax()))
-            score = np.maximum(score, jump) + row
-        path = [int(score.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        path.reverse()
-        mine, s = [], 0
-        for e in range(1, len(path) + 1):
-            if e == len(path) or path[e] != path[s]:
-                mine.append((len(mine), model.languages[path[s]], float(np.average(own[s:e, path[s]], weights=size[s:e])), e - s))
-                s = e
-        out.append(mine)
+    lang = prob.argmax(axis=1)
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    some = counts > 0
+    # Where every sentence is likeliest in one language, so is the text: a change would only cost.
+    if some.any():
+        differ = np.maximum.reduceat(lang, starts[some]) != np.minimum.reduceat(lang, starts[some])
+        for i in np.flatnonzero(some)[differ]:
+            lang[starts[i] : ends[i]] = _path(np.log(np.maximum(prob[starts[i] : ends[i]], 1e-12)))
+    owner = np.repeat(np.arange(len(texts)), counts)
+    new = np.ones(len(flat), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (lang[1:] != lang[:-1])
+    first = np.flatnonzero(new)
+    weighted = prob[np.arange(len(flat)), lang] * size
+    confidence = np.add.reduceat(weighted, first) / np.add.reduceat(size, first) if len(first) else np.zeros(0)
+    # A text without words is one run of no language.
+    of = np.append(owner[first], np.flatnonzero(~some))
+    order = np.argsort(of, kind="stable")
+    none = np.zeros(len(of) - len(first))
+    return (np.maximum(np.bincount(owner[first], minlength=len(texts)), 1), np.append(lang[first], none - 1)[order].astype(np.int64), np.append(confidence, none + 1)[order],
+            np.append(np.diff(np.append(first, len(flat))), none)[order].astype(np.int64))
+
+
+def runs_of(texts: list[str | None], model: LanguageModel) -> list[list[tuple[int, str, float, int]]]:
+    """For each text its runs: (number, language, confidence, sentences). Confidence is the probability averaged over characters."""
+    names, at, out = [*model.languages, NO_LANGUAGE], 0, []
+    each, lang, confidence, n = _runs_of(texts, model)
+    for k in each:
+        out.append([(i, names[lang[at + i]], float(confidence[at + i]), int(n[at + i])) for i in range(k)])
+        at += k
     return out
 
 
 def _runs(docs: DataFrame, model: LanguageModel, text: str) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("array<struct<run_no:int,run_lang:string,confidence:double,n_sentences:int>>")
-    def runs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        now = shared.value
-        for b in batches:
-            found = []
-            for i in range(0, len(b), 256):  # what numpy holds at once follows this
-                found += runs_of([t if isinstance(t, str) else None for t in b.iloc[i : i + 256]], now)
-            yield pd.Series([[dict(zip(NEW, r)) for r in rs] for rs in found], dtype=object)
+    kind = pa.struct([("run_no", pa.int32()), ("run_lang", pa.string()), ("confidence", pa.float64()), ("n_sentences", pa.int32())])
+
+    @F.arrow_udf("array<struct<run_no:int,run_lang:string,confidence:double,n_sentences:int>>")
+    def runs(texts: pa.Array) -> pa.Array:
+        now, names, out = shared.value, pa.array([*shared.value.languages, NO_LANGUAGE]), []
+        for piece in _pieces(texts.to_pylist()):
+            each, lang, confidence, n = _runs_of(piece, now)
+            ends = np.cumsum(each)
+            number = np.arange(ends[-1]) - np.repeat(ends - each, each)
+            columns = [pa.array(number.astype("int32")), names.take(pa.array(np.where(lang < 0, len(names) - 1, lang))), pa.array(confidence), pa.array(n.astype("int32"))]
+            out.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype("int32")), pa.StructArray.from_arrays(columns, fields=list(kind))))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(kind))
 
     return runs(docs[text])
 
@@ -256,7 +323,7 @@ def wrong_labels(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id",
     A label is missing if it names no language; ``und`` is right for a text without words only. Equal
     rows give equal runs once.
     """
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), label_language(F.col(lang)).alias("l"))
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), label_language(F.col(lang), model.languages).alias("l"))
     runs = _runs(rows, model, "t")
     right = (F.size(runs) == 1) & F.coalesce(rows["l"] == F.get(runs, F.lit(0))["run_lang"], F.lit(False))
     bad = rows.select("d", F.explode(F.when(~right, runs)).alias("r"))

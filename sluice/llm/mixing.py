@@ -23,6 +23,8 @@ TOKENIZER = os.environ.get("SLUICE_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_5
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents a range holds on average.
 RANGE_DOCUMENTS = 50_000
+#: Most sources whose targets are broadcast.
+BROADCAST_SOURCES = 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -47,11 +49,11 @@ def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
 
 
 def source_report(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source of ``targets``: documents, tokens, budget and what can be used of it.
+    """Per source of ``targets``: documents, tokens, budget and how much of it repeats can give at most.
 
     ``sizes`` is (source, n_tokens). Budgets are shares of all tokens in ``sizes``, sources without a
     target and null sources included. (source, target_share, max_repeats, docs, tokens, total_tokens,
-    budget, used_budget, reachable). A source without documents has 0 tokens. Null ``max_repeats``
+    budget, used_budget). A source without documents has 0 tokens. Null ``max_repeats``
     counts as 1, a null or negative share as 0. Repeated targets of one source are one: the largest.
     """
     per = sizes.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
@@ -64,13 +66,13 @@ def source_report(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     most = F.col("tokens") * F.col("max_repeats")
     wanted = F.col("target_share") * F.col("total_tokens")
     return out.withColumn("budget", F.round(wanted).cast("bigint")).withColumn(
-        "used_budget", F.least(F.col("budget"), most)).withColumn("reachable", most >= wanted)
+        "used_budget", F.least(F.col("budget"), most))
 
 
 def _ranges(keyed: DataFrame, plan: DataFrame) -> DataFrame:
     """Keyed documents with the number of their range: equal parts of the key space, as many as a source's documents ask for."""
     parts = F.greatest(F.lit(1), F.ceil(F.col("docs") / RANGE_DOCUMENTS))
-    return keyed.join(F.broadcast(plan), "source").withColumn("part", F.floor(F.col("key") * parts / float(1 << 32)).cast("int"))
+    return keyed.join(plan, "source").withColumn("part", F.floor(F.col("key") * parts / float(1 << 32)).cast("int"))
 
 
 def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
@@ -79,20 +81,22 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     A source's budget is its share of all tokens of ``docs``. It is filled with whole epochs and then
     with the documents, in order of their random keys, that end within the rest; a source that
     cannot reach its budget is used ``max_repeats`` times. Documents without tokens are used with the
-    epochs of those around them; empty tables give no selection. ``targets`` is a table of sources,
-    small by its nature; its size is checked before it is broadcast.
+    epochs of those around them; empty tables give no selection. ``targets`` is broadcast up to BROADCAST_SOURCES
+    sources. Keys come from seed, id and text alone, so the mix is the same however the table lies.
+
+    ``reachable`` in the report is what the cut found: false where every document is used ``max_repeats`` times
+    and all of them together stay below the target.
     """
     sized = cut(docs.select(
         F.col(doc_id).alias("id"), F.col(source).alias("source"), token_count(F.col(text), tokenizer).alias("n_tokens"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id), F.monotonically_increasing_id()), 32).alias("key")))
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), 32).alias("key")))
     report = cut(source_report(sized.select("source", "n_tokens"), targets))
-    if report.count() > 1_000_000:
-        raise ValueError("too many sources to broadcast their targets")
     plan = report.where(F.col("tokens") > 0).select(
         "source", "docs", "tokens", "used_budget", "max_repeats",
         F.floor(F.col("used_budget") / F.col("tokens")).cast("int").alias("epochs"))
     plan = plan.withColumn("rest", F.col("used_budget") - F.col("epochs") * F.col("tokens"))
-    ranged = _ranges(sized, plan)
+    # Beyond that, the join is by shuffle, and adaptive execution splits a source that holds much.
+    ranged = _ranges(sized, F.broadcast(plan) if report.count() <= BROADCAST_SOURCES else plan)
     # One row a range: few, and summed in order source by source.
     sums = ranged.groupBy("source", "part").agg(F.sum("n_tokens").alias("part_tokens"))
     before = sums.selectExpr("source", "part", "coalesce(sum(part_tokens) over (partition by source order by part rows between unbounded preceding and 1 preceding), 0) as before", "part_tokens")
@@ -105,8 +109,11 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     edge = edge.withColumn("extra", (F.col("upto") <= F.col("rest")).cast("int"))
     cols = [F.col("id").alias(doc_id), F.col("source").alias(source), "n_tokens", F.least(F.col("epochs") + F.col("extra"), F.col("max_repeats")).cast("int").alias("uses")]
     chosen = cut(whole.select(*cols).unionByName(edge.select(*cols)).where(F.col("uses") > 0))
-    used = chosen.groupBy(F.col(source).alias("source")).agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("actual"), F.max("uses").alias("most_uses"))
+    used = chosen.groupBy(F.col(source).alias("source")).agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("actual"), F.max("uses").alias("most_uses"), F.min("uses").alias("least_uses"), F.count("*").alias("used_docs"))
     out = report.join(used, "source", "left").withColumn("actual_tokens", F.coalesce("actual", F.lit(0)).cast("bigint")).withColumn("most_uses", F.coalesce("most_uses", F.lit(0)))
+    spent = (F.col("used_docs") == F.col("docs")) & (F.col("least_uses") >= F.col("max_repeats")) | (F.col("max_repeats") <= 0) | (F.col("docs") == 0)
+    short = F.coalesce(spent, F.lit(False)) & (F.col("actual_tokens") < F.col("target_share") * F.col("total_tokens"))
+    out = out.withColumn("reachable", ~short).drop("least_uses", "used_docs")
     mixed = used.agg(F.sum("actual")).first()[0] or 0
     out = out.drop("actual").withColumn("mix_tokens", F.lit(mixed).cast("bigint")).withColumn("actual_share", F.when(F.col("mix_tokens") > 0, F.col("actual_tokens") / F.col("mix_tokens")))
     return chosen, out.withColumn("share_of_total", F.when(F.col("total_tokens") > 0, F.col("actual_tokens") / F.col("total_tokens")))

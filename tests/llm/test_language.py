@@ -85,3 +85,20 @@ def test_held_out_accuracy(spark):
     p = m.probabilities([lg.normal(t) for t, _ in test])
     right = np.array([m.languages[k] == l for k, (_, l) in zip(p.argmax(axis=1), test)])
     assert right.mean() > 0.97 and abs(p.max(axis=1).mean() - right.mean()) < 0.15
+
+
+def test_a_language_of_the_samples_needs_no_list(spark):
+    """A seventh language, which stands in no list of names, is learnt and told from the others; its label is right."""
+    tlh = ["Qapla batlh je tlhInganpu, Qo nuqneH vavoy.", "HIja tlhIngan maH taHjaj wo, batlh Daqawlu taH.", "nuqDaq yuch Dapol, qaStaH nuq jay."]
+    samples = spark.createDataFrame([*PAIRS, *[(t, "tlh") for t in tlh * 3]], "text string, lang string")
+    docs = spark.createDataFrame([(1, tlh[0] + " " + tlh[2], "tlh"), (2, tlh[1], "en"), (3, SAMPLES["de"][0] + " " + tlh[0] + " " + tlh[1], "TLH-x")], "doc_id long, text string, lang string")
+    fitted = lg.fit(samples, docs)
+    assert "tlh" in fitted.languages
+    assert sorted((r.doc_id, r.run_no, r.lang) for r in lg.wrong_labels(docs, fitted).collect()) == [(2, 0, "tlh"), (3, 0, "de"), (3, 1, "tlh")]
+
+
+def test_frequencies_cover_all_documents(spark):
+    texts = ["ab ab", None, "", "ab", "12", "zz " * 100_000]
+    df, n = lg.document_frequencies(spark.createDataFrame([(t,) for t in texts], "t string").repartition(3), "t")
+    own = [lg.normal(t) for t in texts if t]
+    assert n == 4 and df.sum() == sum(len(set(lg.ngrams([t])[1])) for t in own)

@@ -60,3 +60,23 @@ def test_edges(spark):
     odd = spark.createDataFrame([(1, None, "a", 0), (2, "", "a", 0), (None, "x " * 50_000, "a", 0), (None, "x", "a", 0)], DOCS)
     report = mixing.mix(odd, spark.createDataFrame([("a", 1.0, 1)], TARGETS))[1].first()
     assert report.docs == 4 and report.actual_tokens == report.tokens == report.budget
+
+
+def test_same_mix_however_the_table_lies(spark, monkeypatch):
+    docs = table(spark, {"a": 300, "b": 50})
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.6, 2)], TARGETS)
+    mixes = [sorted(map(tuple, mixing.mix(d, targets)[0].collect())) for d in (docs, docs.coalesce(1), docs.orderBy("text").repartition(7))]
+    assert mixes[0] == mixes[1] == mixes[2] and len(mixes[0]) > 100
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mix(docs, targets)[0].collect())) == mixes[0]
+
+
+def test_reachable_is_what_the_cut_finds(spark):
+    docs = table(spark, {"a": 100, "b": 7, "c": 1})
+    total = mixing.mix(docs, spark.createDataFrame([], TARGETS))[1].count()
+    assert total == 0
+    for share, most, want in ((0.07, 1, None), (0.5, 1, False), (0.0, 0, True), (0.01, 0, False)):
+        r = mixing.mix(docs, spark.createDataFrame([("b", share, most)], TARGETS))[1].first()
+        assert r.reachable == (r.tokens * r.max_repeats >= share * r.total_tokens) and want in (None, r.reachable)
+    sure = mixing.mix(docs, spark.createDataFrame([("b", r.tokens / r.total_tokens, 1)], TARGETS))[1].first()
+    assert sure.reachable
