@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 #: Separators by name, and the directives a source location may carry.
 SEPARATORS = {"comma": ",", "semicolon": ";", "tab": "\t", "pipe": "|"}
 DIRECTIVES = ["SecRule", "SecAction", "SecMarker", "SecRuleEngine", "SecDefaultAction", "SecRuleRemoveById", "Include"]
@@ -100,11 +102,20 @@ def strict_load(df: DataFrame, at: Layout = Layout()) -> DataFrame:
     )
 
 
+#: Most rejected offsets that are broadcast to fetch their texts (8 bytes each); more meet their texts by shuffle.
+BROADCAST_REJECTED = 2_000_000
+
+
 def rejected(df: DataFrame, at: Layout = Layout()) -> DataFrame:
     """(record offset, reason) of every row that ``strict_load`` leaves out: ``quoting``, ``column_count`` or ``value``, the first that applies.
 
     Offsets must be unique. A null offset matches no loaded row, so such rows are diagnosed themselves
     and left out if they turn out good. A null or empty text, and an unknown separator, is ``column_count``.
+    Only offsets are shuffled for the anti-join; texts are read again for the rejected ones.
     """
-    rest = df.select(at.offset, at.sep, at.text).join(strict_load(df, at).select(at.offset), at.offset, "left_anti")
-    return rest.select(F.col(at.offset), F.explode(F.filter(_judged(rest, at), lambda p: p["reason"].isNotNull())).alias("p")).select(at.offset, "p.reason")
+    offset = F.col(at.offset)
+    rows = df.select(at.offset, at.sep, at.text)
+    left = cut(rows.select(at.offset).where(offset.isNotNull()).join(strict_load(df, at).select(at.offset), at.offset, "left_anti"))
+    few = left.count() <= BROADCAST_REJECTED
+    rest = rows.join(F.broadcast(left) if few else left, at.offset, "left_semi").unionByName(rows.where(offset.isNull()))
+    return rest.select(at.offset, F.explode(F.filter(_judged(rest, at), lambda p: p["reason"].isNotNull())).alias("p")).select(at.offset, "p.reason")

@@ -346,9 +346,13 @@ _add("eng_blocked_per_hour", lambda s, d: verdicts.blocked_per_window(Evaluator(
 RULE_FILE = 'SecRule REQUEST_URI "@contains /admin" \\\n    "id:1,phase:1,deny,\\\n    msg:\'no admin\',severity:CRITICAL,tag:\'t1\'"\n# end\nSecRule ARGS:q|!ARGS:qq "@rx ^a" "id:2,phase:2,t:lowercase,chain"\nSecMarker DONE\n'
 
 
+RULE_FILES = {"a.conf": RULE_FILE, "b.conf": 'SecAction "id:3,phase:5"\n'}
+
+
 def _rule_files() -> str:
+    """Files on the driver, which reads them itself."""
     at = tempfile.mkdtemp(prefix="rules-")
-    for name, text in (("a.conf", RULE_FILE), ("b.conf", 'SecAction "id:3,phase:5"\n'), ("main", "Include *.conf\nInclude nothing/*.conf\n")):
+    for name, text in (*RULE_FILES.items(), ("main", "Include *.conf\nInclude nothing/*.conf\n")):
         with open(os.path.join(at, name), "w", encoding="utf-8") as f:
             f.write(text)
     return at
@@ -365,7 +369,17 @@ _add("src_rules_string", lambda s, d: _rule_rows(s, Ruleset.from_string(RULE_FIL
 _add("src_rules_file", lambda s, d: _rule_rows(s, Ruleset.from_file(_rule_files() + "/a.conf")), _rules_sql.format(""))
 _rules_all = _rules_sql.format(", (5, 0, '3', 'unconditionalmatch', '', false, '[id \"3\"]')")
 _add("src_rules_glob", lambda s, d: _rule_rows(s, Ruleset.from_glob(_rule_files() + "/*.conf")), _rules_all)
-_add("src_rules_remote", lambda s, d: _rule_rows(s, Ruleset.from_remote(s, "file://" + _rule_files() + "/*.conf")), _rules_all)
+
+
+def src_rules_remote(spark: SparkSession, d: str) -> DataFrame:
+    """Rule files in the shared folder, written and read by executors."""
+    at = _place(spark, "rules")
+    for name, text in RULE_FILES.items():
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{at}/{name}")
+    return _rule_rows(spark, Ruleset.from_remote(spark, f"{at}/*.conf/part-*"))
+
+
+_add("src_rules_remote", src_rules_remote, _rules_all)
 _add("src_rules_table", lambda s, d: Ruleset.from_frame(table(s, d, "rules"), skip_unusable=True).rules_frame(s).select("id", "phase", "operator", "negated", F.size("variables").alias("n_variables"), "is_chain"),
      "SELECT rule_id AS id, phase, lower(replace(replace(op_name, '!', ''), '@', '')) AS operator, starts_with(op_name, '!') AS negated, CAST(len(variables) AS INTEGER) AS n_variables, is_chain "
      "FROM rules WHERE NOT (argument = '' AND op_name IN ('@rx', '@pm'))")

@@ -1,3 +1,4 @@
+import ipaddress
 import random
 import re
 
@@ -6,8 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sluice.functions.regex import BadPattern, to_java
-from sluice.operators import detectors
+from sluice.functions.regex import BadPattern, needed, to_java
+from sluice.operators import detectors, predicates
 from sluice.operators.predicates import Predicate, register, rx_groups, test as satisfies
 from sluice.seclang.parser import parse_operator
 
@@ -115,3 +116,54 @@ def test_fingerprints(spark):
     assert detectors.sqli_fingerprint("a ; select") == "ok"
     assert detectors._sql_tokens("/* open") == [("c", "/* ope"), ("U", "n")]  # the last character of an open comment is a token of its own
     assert [k for k, _ in detectors._sql_tokens("@a:=0x1F + b(-- c\n)'x\\'' #")] == ["v", "o", "1", "o", "U", "E", "c", "E", "s"]
+
+
+def test_addresses_of_many_networks(spark):
+    rng = random.Random(6)
+    four = [f"{rng.randint(1, 223)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}/{rng.randint(9, 32)}" for _ in range(3000)]
+    six = [f"2001:db8:{rng.randint(0, 65535):x}::/{rng.randint(33, 64)}" for _ in range(500)]
+    texts = [str(ipaddress.ip_network(n, strict=False)[0]) for n in four[:50] + six[:50]] + [f"{rng.randint(1, 223)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.9" for _ in range(400)] + [f"2001:db8:{rng.randint(0, 65535):x}::1" for _ in range(99)] + ["", "x", "1.2.3", "01.2.3.4", "::", None]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+
+    def brute(text, nets):
+        try:
+            a = ipaddress.ip_address(text or "")
+        except ValueError:
+            return False
+        return any(a in n for n in nets if n.version == a.version)
+
+    for items in (four, four + six, four[:3], six[:1]):
+        nets = [ipaddress.ip_network(n, strict=False) for n in items]
+        got = [r[0] for r in df.select(predicates.test(parse_operator("@ipMatch " + " ".join(items)), F.col("v"))).collect()]
+        assert got == [brute(t, nets) for t in texts]
+    huge = "@ipMatch " + " ".join(f"{a}.{b}.{c}.0/25" for a in range(10, 14) for b in range(125) for c in range(200))
+    assert [r[0] for r in spark.createDataFrame([("13.124.199.127",), ("13.124.199.128",), ("9.9.9.9",)], "v string").select(predicates.test(parse_operator(huge), F.col("v"))).collect()] == [True, False, False]
+
+
+def test_phrases_are_searched_as_a_trie(spark):
+    rng = random.Random(7)
+    phrases = ["".join(rng.choice("abAB.\\*é") for _ in range(rng.randint(1, 6))) for _ in range(150)] + ["a" * n + "b" for n in range(6, 300)]
+    texts = ["".join(rng.choice("abcAB.\\*éxyz") for _ in range(rng.randint(0, 12))) for _ in range(2000)] + ["a" * 299, "a" * 250 + "B", "", "\\E"]
+    low = lambda t: t.translate({c: c + 32 for c in range(65, 91)})
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    for some in (phrases, phrases[:1], phrases[:9], [p for p in phrases if len(p) > 4]):
+        got = [r[0] for r in df.select(predicates.test(parse_operator("@pm " + " ".join(some)), F.col("v"))).collect()]
+        assert got == [any(low(p) in low(t) for p in some) for t in texts]
+
+
+def test_needed_texts():
+    """Whatever a pattern matches holds one of the texts it is said to need, case aside."""
+    rng = random.Random(3)
+    atoms = ["abc", "de", "x", "[a-c]", "(?:abc|def)", "(abcd)", "a?", "(?:ab)+", "[^x]", "\\w", ".", "(?i:Abc)", "b{2,3}", "(?:a|bc)?", "^", "z*", "\\.", "\\[", "()"]
+    checked = 0
+    for _ in range(3000):
+        p = "".join(rng.choice(atoms) for _ in range(rng.randint(1, 5))) + rng.choice(["", "", "|abcd", "|"])
+        need = needed(p)
+        if not need:
+            continue
+        for _ in range(10):
+            t = "".join(rng.choice(["abc", "abcd", "def", "de", "x", "a", "ab", "bb", ".", "[", "Abc", "bc"]) for _ in range(rng.randint(1, 6)))
+            if re.search(p, t):
+                checked += 1
+                assert any(n.lower() in t.lower() for n in need), (p, t, need)
+    assert checked > 500 and needed("[[:alpha:]]abcdef") is None and needed("(?x)ab cd ef") is None and needed("a|b") is None
