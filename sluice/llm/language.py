@@ -11,6 +11,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,9 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), lengths)
     ends = np.repeat(np.cumsum(lengths), lengths)
     at = np.arange(len(flat))
+    # Row and slot in one number, a short one if it fits, as they are sorted.
+    kind = np.uint32 if len(texts) <= (1 << 32) // DIMENSIONS else np.int64
+    owner = (owner * DIMENSIONS).astype(kind)
     keys = []
     h = np.zeros(len(flat), dtype=np.uint64)
     for n in range(1, max(LENGTHS) + 1):
@@ -73,16 +77,29 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = len(flat) - n + 1
         h = (h[:m] * np.uint64(0x9E3779B97F4A7C15) + flat[n - 1 :] + np.uint64(1)) & np.uint64(0xFFFFFFFFFFFFFFFF)
         if n in LENGTHS:
-            ok = at[:m] + n <= ends[:m]
-            mixed = h[ok] * np.uint64(0xD6E8FEB86659FD93)
+            mixed = h * np.uint64(0xD6E8FEB86659FD93)
             slot = (mixed ^ (mixed >> np.uint64(32))) % np.uint64(DIMENSIONS)
-            keys.append(owner[:m][ok] * DIMENSIONS + slot.astype(np.int64))
+            keys.append((owner[:m] + slot.astype(kind))[at[:m] + n <= ends[:m]])
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    pair, n = np.unique(np.concatenate(keys), return_counts=True)
+    pair = np.sort(np.concatenate(keys))
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    n = np.diff(np.append(first, len(pair)))
+    pair = pair[first].astype(np.int64)
     return pair // DIMENSIONS, pair % DIMENSIONS, n.astype(np.float64)
 
 
+#: Weights of small term frequencies.
+_TF = 1.0 + np.log(np.arange(1, 65))
+
+
+def _tf(n: np.ndarray) -> np.ndarray:
+    out = _TF[np.minimum(n, 64).astype(np.int64) - 1]
+    if len(n) and n.max() > 64:
+        out = np.where(n > 64, 1.0 + np.log(n), out)
+    return out
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
@@ -98,17 +115,26 @@ class LanguageModel:
         p = np.exp(z)
         return p / p.sum(axis=1, keepdims=True)
 
+    @cached_property
+    def _table(self) -> np.ndarray:
+        """For each slot the IDF weight times each language's weight, and by itself."""
+        return np.column_stack([self.weights * self.idf[:, None], self.idf]).astype("float32")
+
     def logits(self, texts: list[str]) -> np.ndarray:
-        row, slot, x = tf_idf(texts, self.idf)
+        row, slot, n = ngrams(texts)
         out = np.zeros((len(texts), len(self.languages)))
-        for k in range(len(self.languages)):
-            out[:, k] = np.bincount(row, weights=x * self.weights[slot, k], minlength=len(texts))
+        if len(row):
+            terms = self._table[slot] * _tf(n).astype("float32")[:, None]
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            terms[:, -1] **= 2
+            sums = np.add.reduceat(terms, first, axis=0)
+            out[row[first]] = sums[:, :-1] / np.sqrt(np.maximum(sums[:, -1:], 1e-24))
         return out
 
 
 def tf_idf(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     row, slot, n = ngrams(texts)
-    x = (1.0 + np.log(n)) * idf[slot] if len(n) else n
+    x = _tf(n) * idf[slot] if len(n) else n
     norm = np.sqrt(np.bincount(row, weights=x * x, minlength=len(texts)))
     return row, slot, x / np.maximum(norm[row], 1e-12) if len(n) else x
 
@@ -138,7 +164,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return out, n
 
 
-def _pieces(texts: list[str | None], most: int = 1 << 18) -> Iterator[list[str | None]]:
+def _pieces(texts: list[str | None], most: int = 1 << 15) -> Iterator[list[str | None]]:
     """Texts in groups of about ``most`` characters, so that what numpy holds at once is bounded by that or one text."""
     piece, size = [], 0
     for t in texts:
