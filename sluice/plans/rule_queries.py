@@ -169,6 +169,14 @@ for _label, _text, _sql, _column in [
 ]:
     _operator(_label, _text, _sql, _column)
 
+# Long lists, as threat feeds and phrase files have them.
+NETWORKS = [f"{1 + 7 * i % 223}.{13 * i % 256}.{i % 256}.0/24" for i in range(6000)] + [f"198.{18 + i % 2}.{i}.0/24" for i in range(0, 256, 2)]
+PHRASES = [f"/{i}" for i in range(1000, 3800)] + [f"{a}{b}" for a in ("kelp", "onyx", "pine", "dune", "fjord") for b in (".", ":", "/", "-", " ", "&", "=")]
+_operator("ipMatch_many", "@ipMatch " + " ".join(NETWORKS), f"{_four} AND regexp_extract(v, '^(.*)[.][0-9]+$', 1) IN ({', '.join(sorted({chr(39) + n[:-5] + chr(39) for n in NETWORKS}))})", "client_ip")
+_operator("ipMatch_many_v6", "@ipMatch 2001:db8::/33 2001:db8:8000::/33 " + " ".join(NETWORKS),
+          f"starts_with(v, '2001:db8:') OR {_four} AND regexp_extract(v, '^(.*)[.][0-9]+$', 1) IN ({', '.join(sorted({chr(39) + n[:-5] + chr(39) for n in NETWORKS}))})", "client_ip")
+_operator("pm_many", "@pm " + " ".join(p for p in PHRASES if " " not in p), "regexp_matches(lower(v), '" + "|".join(p.replace(".", "[.]") for p in PHRASES if " " not in p) + "')", "uri")
+
 _VALS = f"SELECT tx_id, unnest(args_get).value AS v FROM {TX}"
 for _label, _op, _sql in (("detectSQLi", "@detectSQLi", f"SELECT tx_id, sqli IS NOT NULL AS hit FROM ({found.sqli(_VALS)})"), ("detectXSS", "@detectXSS", f"SELECT tx_id, xss IS NOT NULL AS hit FROM ({found.xss(_VALS)})")):
     _operator(_label, _op, None, "vals")

@@ -35,7 +35,7 @@ def test_entry(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["p1_found", "p3_found", "p1_rules", "t_normalizePath", "t_cmdLine", "op_ipMatch", "op_sqli_patterns", "var_ARGS", "eng_chain", "eng_skip_after", "eng_score", "eng_late_phases", "stream_verdicts"])
+@pytest.mark.parametrize("name", ["p1_found", "p3_found", "p1_rules", "t_normalizePath", "t_cmdLine", "op_ipMatch", "op_sqli_patterns", "var_ARGS", "eng_chain", "eng_skip_after", "eng_score", "eng_late_phases", "stream_verdicts", "stream_phases", "op_ipMatch_many", "op_pm_many", "t_jsDecode_stored", "t_htmlEntityDecode_stored", "var_ARGS_POST", "op_detection_fingerprints", "eng_cli", "eng_push", "eng_manual", "src_rules_remote", "p2_found", "p5_found"])
 def test_against_sql(spark, name):
     import duckdb
 
