@@ -435,10 +435,10 @@ _add("stream_verdicts", stream_verdicts, _status_sql)
 def stream_assemble(spark: SparkSession, d: str) -> DataFrame:
     """All rows cut into parts, the parts read as a stream and put together again: one row for each tx_id (of resent ones the parts are the same)."""
     src, at = _place(spark, "parts"), _place(spark, "assembled")
-    assemble.to_parts(_tx(spark, d)).write.parquet(src)
+    assemble.to_parts(_tx(spark, d)).write.option("compression", "zstd").parquet(src)
     whole = assemble.assemble(verdicts.read_transactions(spark, src, assemble.PART))
     assemble.write_assembled(whole, at, at + "-checkpoint").awaitTermination()
-    return assemble.read_assembled(spark, at).select("tx_id", "method", "uri", F.size("request_headers").alias("n_headers"), F.coalesce(F.octet_length("request_body"), F.lit(0)).alias("body_bytes"))
+    return assemble.read_assembled(spark, at, "method", "uri", F.size("request_headers").alias("n_headers"), F.coalesce(F.octet_length("request_body"), F.lit(0)).alias("body_bytes"))
 
 
 _add("stream_assemble", stream_assemble,

@@ -6,9 +6,15 @@ A part is (tx_id, seq, kind, name, value, data, ts): kind ``uri`` (value: URI, n
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -19,14 +25,52 @@ PART = "tx_id bigint, seq int, kind string, name string, value string, data bina
 
 
 ONE = "array<struct<seq:int,kind:string,name:string,value:string,data:binary>>"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The only store with timers; what changed is written once, and all stores of an executor share their memory.
+STORE = {
+    "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "rocksdb.changelogCheckpointing.enabled": "true",
+    "rocksdb.boundedMemoryUsage": "true", "rocksdb.maxMemoryUsageMB": "256",
+}
+#: State is kept by so many hash buckets of tx_id: what Python does for each key of a state is done once for many transactions.
+BUCKETS = 2048
+FIELDS = ("seq", "kind", "name", "value", "data")
+#: Transactions in a row that ``Gathered`` gives.
+GIVEN = 1000
+#: Of null times, and where microseconds leave pandas' range.
+NO_TIME, FAR = -(2**63), 9 * 10**15
+
+
+def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tx_id, us, ended, parts) of what a batch has of one tx_id and time, each part once; parts are pickled tuples of ``FIELDS``."""
+    for batch in batches:
+        sorted_ = batch.take(pa.array(np.lexsort((batch["us"].to_numpy(), batch["tx_id"].to_numpy()))))
+        tx, us = sorted_["tx_id"].to_numpy(), sorted_["us"].to_numpy()
+        starts = np.flatnonzero(np.append(len(tx) > 0, (tx[1:] != tx[:-1]) | (us[1:] != us[:-1])))
+        every = list(zip(sorted_["seq"].to_pylist(), *[sorted_[c].to_numpy(zero_copy_only=False).tolist() for c in FIELDS[1:]], strict=True))
+        bounds = [*starts.tolist(), len(every)]
+        own = [list(dict.fromkeys(every[i:j])) for i, j in pairwise(bounds)]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(tx[starts]), pa.array(us[starts]), pa.array([any(p[1] == b"end" for p in parts) for parts in own], pa.bool_()),
+            pa.array([pickle.dumps(parts, 5) for parts in own], pa.binary())], names=["tx_id", "us", "ended", "parts"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tx_id, us, parts) of the rows that ``Gathered`` gives."""
+    for batch in batches:
+        for given in batch["given"]:
+            tx, us, fragments = zip(*pickle.loads(given.as_py()), strict=True)
+            own = [pickle.loads(f) for f in fragments]
+            fields = zip(*chain.from_iterable(own), strict=True)
+            struct = pa.StructArray.from_arrays([pa.array(list(v), pa.int32() if c == "seq" else pa.binary()) for c, v in zip(FIELDS, fields, strict=True)], names=FIELDS)
+            offsets = pa.array([0, *accumulate(map(len, own))], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(tx, pa.int64()), pa.array(us, pa.int64()), pa.ListArray.from_arrays(offsets, struct)], names=["tx_id", "us", "parts"])
 
 
 class Gathered(StatefulProcessor):
-    """The parts of one tx_id so far, in microseconds their first and newest time, and the watermark when a part last came.
+    """By tx_id of a bucket the parts so far, in microseconds their first and newest time, the watermark when a part last came, and whether ``end`` has come.
 
-    A transaction's timer stands at its newest time. Without any time it stands ``late`` after the newest time of
-    all parts when its last part came (the watermark then and twice ``late``), and is set anew if no time was known then.
+    A transaction is due at its newest time. Without any time it is due ``late`` after the newest time of
+    all parts when its last part came (the watermark then and twice ``late``), and this is set anew if no time was known then.
+    The bucket's timer stands at the first of these.
     """
 
     def __init__(self, late_ms: int):
@@ -34,38 +78,55 @@ class Gathered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("gathered", f"parts {ONE}, first bigint, newest bigint, seen bigint, timer bigint")
+        self.state = handle.getValueState("gathered", "open binary, timer bigint")
+
+    def _open(self) -> tuple[dict, int | None]:
+        old = self.state.get()
+        return ({}, None) if old is None else (pickle.loads(zlib.decompress(old[0])), old[1])
 
     def _due(self, newest: int | None, seen: int) -> int:
         return seen + self.late_ms if newest is None else -(-newest // 1000)
 
-    def _until(self, due: int, timer: int | None) -> int:
+    def _keep(self, open_: dict, timer: int | None) -> None:
+        """``timer`` is one that still stands."""
+        due = min(self._due(newest, seen) for _, newest, seen, _, _ in open_.values())
         if timer != due:
             if timer is not None:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(due)
-        return due
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        old = self.state.get()
-        parts, first, newest, seen, timer = ([], None, None, 0, None) if old is None else ([_part(p) for p in old[0]], *old[1:])
-        known, n, seen = dict.fromkeys(parts), len(parts), max(seen, timerValues.getCurrentWatermarkInMs())
-        for r in rows:
-            known.setdefault(_part((r.seq, r.kind, r.name, r.value, r.data)))
-            if r.us is not None:
-                first, newest = (r.us, r.us) if newest is None else (min(first, r.us), max(newest, r.us))
-        parts = list(known)
-        self.state.update((parts, first, newest, seen, self._until(self._due(newest, seen), timer)))
-        if len(parts) > n and any(p[1] == "end" for p in parts):
-            yield Row(tx_id=key[0], parts=parts, us=first)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        parts, first, newest, seen, _ = self.state.get()
-        if newest is None and seen == 0:
-            seen = timerValues.getCurrentWatermarkInMs()
-            due = self._due(newest, seen)
-            self.handle.registerTimer(due)
-            self.state.update(([_part(p) for p in parts], first, newest, seen, due))
+        self.state.update((zlib.compress(pickle.dumps(open_, 5), 1), due))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        open_, timer = self._open()
+        now, changed = timerValues.getCurrentWatermarkInMs(), {}
+        for tx, us, end, parts in chain.from_iterable(zip(*[df[c].tolist() for c in ("tx_id", "us", "ended", "parts")], strict=True) for df in rows):
+            us = None if us == NO_TIME else us
+            if tx not in open_:
+                open_[tx], changed[tx] = (us, us, max(0, now), end, parts), True
+                continue
+            first, newest, seen, ended, known = open_[tx]
+            if us is not None:
+                first, newest = (us, us) if newest is None else (min(first, us), max(newest, us))
+            before = pickle.loads(known)
+            both = list(dict.fromkeys(chain(before, pickle.loads(parts))))
+            if len(both) > len(before):
+                known, changed[tx] = pickle.dumps(both, 5), True
+            open_[tx] = first, newest, max(seen, now), ended or end, known
+        if open_:
+            self._keep(open_, timer)
+        out = [(tx, open_[tx][0], open_[tx][4]) for tx in changed if open_[tx][3]]
+        if out:
+            yield pd.DataFrame({"given": [pickle.dumps(out[i : i + GIVEN], 5) for i in range(0, len(out), GIVEN)]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, stays = timerValues.getCurrentWatermarkInMs(), {}
+        for tx, (first, newest, seen, ended, parts) in self._open()[0].items():
+            if self._due(newest, seen) >= now:
+                stays[tx] = first, newest, seen, ended, parts
+            elif newest is None and seen == 0:
+                stays[tx] = first, newest, now, ended, parts
+        if stays:
+            self._keep(stays, None)
         else:
             self.state.clear()
         return iter(())
@@ -74,18 +135,19 @@ class Gathered(StatefulProcessor):
         pass
 
 
-def _part(p) -> tuple:
-    return p[0], p[1], p[2], p[3], None if p[4] is None else bytes(p[4])
-
-
 def _gathered(parts: DataFrame, late: str) -> DataFrame:
     """(tx_id, parts, ts, ended) of a stream, again whenever an ended transaction gets new parts."""
     spark = parts.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the only store with timers
+    for k, v in STORE.items():
+        spark.conf.set(f"spark.sql.streaming.stateStore.{k}", v)
     late_ms = spark.range(1).select(F.unix_millis(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {late}"))).first()[0]
-    timed = parts.withWatermark("ts", late).select("tx_id", "seq", "kind", "name", "value", "data", F.unix_micros("ts").alias("us"), "ts")
-    got = timed.groupBy("tx_id").transformWithState(Gathered(late_ms), f"tx_id bigint, parts {ONE}, us bigint", "Update", "EventTime")
-    return got.select("tx_id", F.sort_array("parts").alias("parts"), F.timestamp_micros("us").alias("ts"), F.lit(True).alias("ended"))
+    plain = parts.select("tx_id", F.coalesce(F.unix_micros("ts"), F.lit(NO_TIME)).alias("us"), "seq", *[F.col(c).cast("binary").alias(c) for c in FIELDS[1:]])
+    fragments = plain.mapInArrow(_fragments, "tx_id bigint, us bigint, ended boolean, parts binary")
+    time = F.when(F.col("us") != NO_TIME, F.timestamp_micros(F.least(F.greatest("us", F.lit(-FAR)), F.lit(FAR))))
+    timed = fragments.withColumn("ts", time).withWatermark("ts", late).withColumn("bucket", F.pmod(F.xxhash64("tx_id"), F.lit(BUCKETS)).cast("int"))
+    got = timed.groupBy("bucket").transformWithStateInPandas(Gathered(late_ms), "given binary", "Update", "EventTime")
+    rows = got.select("given").mapInArrow(_rows, "tx_id bigint, us bigint, parts " + ONE.replace("string", "binary"))
+    return rows.select("tx_id", F.sort_array(F.col("parts").cast(ONE)).alias("parts"), F.timestamp_micros("us").alias("ts"), F.lit(True).alias("ended"))
 
 
 def assemble(parts: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -96,7 +158,7 @@ def assemble(parts: DataFrame, late: str = "1 hour") -> DataFrame:
     ``update``: a transaction comes again when parts come after its ``end``. It is forgotten once the newest time of
     all parts is ``late`` after its own newest; parts without time are kept, never late, and a transaction of
     them alone is forgotten when that time has gone on by ``late`` since its last part. Parts whose time is more than ``late``
-    behind the newest of earlier batches are left out. The state store of the session becomes RocksDB, which timers need.
+    behind the newest of earlier batches are left out; for this, times after 2255 count as of then. The state store of the session becomes RocksDB, which timers need.
     """
     parts = parts.where(F.col("tx_id").isNotNull())
     if parts.isStreaming:
@@ -123,15 +185,18 @@ def assemble(parts: DataFrame, late: str = "1 hour") -> DataFrame:
 def write_assembled(assembled: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Writes a stream of ``assemble`` to Parquet, a folder for each batch, and ends after what is there. A repeated batch replaces its folder."""
     def write(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch={batch}")
 
     return assembled.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
 
 
-def read_assembled(spark: SparkSession, path: str) -> DataFrame:
-    """What ``write_assembled`` wrote: of each transaction the row of its last batch."""
+def read_assembled(spark: SparkSession, path: str, *columns: Column | str) -> DataFrame:
+    """What ``write_assembled`` wrote: of each transaction the row of its last batch, or only ``columns`` of it."""
     df = spark.read.parquet(path)
-    return df.groupBy("tx_id").agg(F.max_by(F.struct(*[c for c in df.columns if c not in ("tx_id", "batch")]), "batch").alias("last")).select("tx_id", "last.*")
+    taken = df.select("tx_id", "batch", *(columns or [c for c in df.columns if c not in ("tx_id", "batch")]))
+    if len(taken.select("batch").distinct().take(2)) < 2:  # a batch has one row of each transaction
+        return taken.drop("batch")
+    return taken.groupBy("tx_id").agg(F.max_by(F.struct(*taken.columns[2:]), "batch").alias("last")).select("tx_id", "last.*")
 
 
 def to_parts(tx: DataFrame, chunk: int = 16) -> DataFrame:

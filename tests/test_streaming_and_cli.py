@@ -101,6 +101,29 @@ def test_stream_forgets(spark, tmp_path):
     assert sorted((r.tx_id, r.uri) for b in late for r in b) == [(1, None), (2, None), (3, "/x"), (4, "/x")]
 
 
+def test_stream_state_is_kept_by_bucket(spark, tmp_path):
+    import pyspark.sql.functions as F
+
+    src, n = str(tmp_path / "many"), 10_000
+    odd = {1: at(None), 2: at(9, 0).replace(year=9999), 3: at(9, 0).replace(year=1980)}
+    some = [(tx, i, k, None, "\x00;é" if i else None, bytes([0, 255, i or 7]), odd[tx]) for tx in odd for i, k in ((None, "uri"), (1, "request_body"), (1, "request_body"), (2, "response_body"), (3, "end"))]
+    many = spark.range(10, n).select(F.col("id").alias("tx_id"), F.timestamp_seconds(F.lit(1704099600) + F.col("id") % 60).alias("ts"), F.posexplode(F.array(*map(F.lit, ("uri", "request_body", "end")))).alias("seq", "kind"))
+    parts = many.select("tx_id", "seq", "kind", F.lit("GET").alias("name"), F.concat(F.lit("/"), "tx_id").alias("value"), F.col("kind").cast("binary").alias("data"), "ts").unionByName(spark.createDataFrame(some, assemble.PART))
+    first = F.col("tx_id").isin(1, 3) | (F.col("tx_id") >= 10) & (F.col("seq") < 2)
+    again = (F.col("tx_id") >= 10) & (F.col("tx_id") % 3 == 0)
+    for batch, part in enumerate((parts.where(first | again), parts.where(~first))):  # of every third the end comes twice
+        part.repartition(2).write.parquet(f"{src}/{batch}")
+    stream = spark.readStream.schema(assemble.PART).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(src)
+    q = assemble.write_assembled(assemble.assemble(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination()
+    got = [p.stateOperators[0].numRowsTotal for p in q.recentProgress]
+    assert 0 < max(got) < n / 2, got
+    want = assemble.assemble(parts)
+    assert want.count() == n - 7
+    rows = lambda df: sorted(map(str, df.select(*want.columns).collect()))
+    assert rows(assemble.read_assembled(spark, str(tmp_path / "out"))) == rows(want)
+
+
 def test_command_line(spark, tmp_path, capsys):
     path = str(tmp_path / "r.conf")
     open(path, "w").write(RULES)
