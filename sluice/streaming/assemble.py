@@ -7,7 +7,6 @@ A part is (tx_id, seq, kind, name, value, data, ts): kind ``uri`` (value: URI, n
 from __future__ import annotations
 
 import pickle
-import zlib
 from collections.abc import Iterator
 from itertools import accumulate, chain, pairwise
 
@@ -25,10 +24,10 @@ PART = "tx_id bigint, seq int, kind string, name string, value string, data bina
 
 
 ONE = "array<struct<seq:int,kind:string,name:string,value:string,data:binary>>"
-#: The only store with timers; what changed is written once, and all stores of an executor share their memory.
+#: The only store with timers; all stores of an executor share their memory. Changelogs would be written besides the first snapshot.
 STORE = {
-    "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "rocksdb.changelogCheckpointing.enabled": "true",
-    "rocksdb.boundedMemoryUsage": "true", "rocksdb.maxMemoryUsageMB": "256",
+    "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "rocksdb.changelogCheckpointing.enabled": "false",
+    "rocksdb.boundedMemoryUsage": "true", "rocksdb.maxMemoryUsageMB": "128", "rocksdb.writeBufferSizeMB": "8",
 }
 #: State is kept by so many hash buckets of tx_id: what Python does for each key of a state is done once for many transactions.
 BUCKETS = 2048
@@ -45,7 +44,9 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sorted_ = batch.take(pa.array(np.lexsort((batch["us"].to_numpy(), batch["tx_id"].to_numpy()))))
         tx, us = sorted_["tx_id"].to_numpy(), sorted_["us"].to_numpy()
         starts = np.flatnonzero(np.append(len(tx) > 0, (tx[1:] != tx[:-1]) | (us[1:] != us[:-1])))
-        every = list(zip(sorted_["seq"].to_pylist(), *[sorted_[c].to_numpy(zero_copy_only=False).tolist() for c in FIELDS[1:]], strict=True))
+        kinds: dict = {}  # one object of each kind, which pickle writes once in a fragment
+        kind, *others = (sorted_[c].to_numpy(zero_copy_only=False).tolist() for c in FIELDS[1:])
+        every = list(zip(sorted_["seq"].to_pylist(), [kinds.setdefault(k, k) for k in kind], *others, strict=True))
         bounds = [*starts.tolist(), len(every)]
         own = [list(dict.fromkeys(every[i:j])) for i, j in pairwise(bounds)]
         yield pa.RecordBatch.from_arrays([
@@ -78,11 +79,11 @@ class Gathered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("gathered", "open binary, timer bigint")
+        self.state = handle.getValueState("gathered", "open binary, size bigint, timer bigint")
 
     def _open(self) -> tuple[dict, int | None]:
         old = self.state.get()
-        return ({}, None) if old is None else (pickle.loads(zlib.decompress(old[0])), old[1])
+        return ({}, None) if old is None else (pickle.loads(pa.Codec("zstd").decompress(old[0], old[1])), old[2])
 
     def _due(self, newest: int | None, seen: int) -> int:
         return seen + self.late_ms if newest is None else -(-newest // 1000)
@@ -94,7 +95,8 @@ class Gathered(StatefulProcessor):
             if timer is not None:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(due)
-        self.state.update((zlib.compress(pickle.dumps(open_, 5), 1), due))
+        whole = pickle.dumps(open_, 5)
+        self.state.update((pa.Codec("zstd", 5).compress(whole, asbytes=True), len(whole), due))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         open_, timer = self._open()
