@@ -13,6 +13,7 @@ from itertools import accumulate, chain, pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,24 +35,31 @@ BUCKETS = 2048
 FIELDS = ("seq", "kind", "name", "value", "data")
 #: Transactions in a row that ``Gathered`` gives.
 GIVEN = 1000
-#: Of null times, and where microseconds leave pandas' range.
+#: In place of null times and seq, and where microseconds leave pandas' range.
 NO_TIME, FAR = -(2**63), 9 * 10**15
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(tx_id, us, ended, parts) of what a batch has of one tx_id and time, each part once; parts are pickled tuples of ``FIELDS``."""
     for batch in batches:
-        sorted_ = batch.take(pa.array(np.lexsort((batch["us"].to_numpy(), batch["tx_id"].to_numpy()))))
-        tx, us = sorted_["tx_id"].to_numpy(), sorted_["us"].to_numpy()
-        starts = np.flatnonzero(np.append(len(tx) > 0, (tx[1:] != tx[:-1]) | (us[1:] != us[:-1])))
+        sorted_ = batch.take(pa.array(np.lexsort([_numbers(batch[c]) for c in ("seq", "us", "tx_id")])))
+        seq, us, tx = (_numbers(sorted_[c]) for c in ("seq", "us", "tx_id"))
+        new = (tx[1:] != tx[:-1]) | (us[1:] != us[:-1])
+        starts = np.flatnonzero(np.append(len(tx) > 0, new))
         kinds: dict = {}  # one object of each kind, which pickle writes once in a fragment
         kind, *others = (sorted_[c].to_numpy(zero_copy_only=False).tolist() for c in FIELDS[1:])
-        every = list(zip(sorted_["seq"].to_pylist(), [kinds.setdefault(k, k) for k in kind], *others, strict=True))
-        bounds = [*starts.tolist(), len(every)]
-        own = [list(dict.fromkeys(every[i:j])) for i, j in pairwise(bounds)]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(tx[starts]), pa.array(us[starts]), pa.array([any(p[1] == b"end" for p in parts) for parts in own], pa.bool_()),
-            pa.array([pickle.dumps(parts, 5) for parts in own], pa.binary())], names=["tx_id", "us", "ended", "parts"])
+        numbers = sorted_["seq"].to_pylist() if sorted_["seq"].null_count else seq.tolist()
+        every = list(zip(numbers, [kinds.setdefault(k, k) for k in kind], *others, strict=True))
+        own = [every[i:j] for i, j in pairwise([*starts.tolist(), len(every)])]
+        if not np.all(new | (seq[1:] != seq[:-1])):
+            own = [list(dict.fromkeys(parts)) for parts in own]
+        ended = np.logical_or.reduceat(pc.equal(sorted_["kind"], b"end").fill_null(False).to_numpy(zero_copy_only=False), starts) if len(tx) else np.empty(0, bool)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(tx[starts]), pa.array(us[starts]), pa.array(ended), pa.array([pickle.dumps(parts, 5) for parts in own], pa.binary())], names=["tx_id", "us", "ended", "parts"])
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(NO_TIME).to_numpy()
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
